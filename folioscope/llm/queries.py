@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import leakage, site_lines, split, topn
+from folioscope.llm import language, leakage, site_lines, split, topn, truncation
 from folioscope.session import read_table
 
 
@@ -72,7 +72,38 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.remove_leaks(read_table(spark, sf_dir, "documents"), _leaks(spark, sf_dir))
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.detect_truncation(read_table(spark, sf_dir, "documents"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).where("truncated").select("doc_id").distinct()
+
+
+def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_report(_judged(spark, sf_dir))
+
+
+def p10_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    endings = truncation.text_endings(read_table(spark, sf_dir, "documents"))
+    return truncation.length_limits(endings).select("source", "unit", "size", "n")
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = [read_table(spark, sf_dir, t) for t in ("parsed_pages", "documents_metadata", "queries")]
+    model = language.fit_model(language.labelled_sample(*tables), language.vocabulary_pieces())
+    return language.record_languages(*tables, model)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.unlabelled_languages(_records(spark, sf_dir))
+
+
+def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p5_found, p5_ranked, p6_found, p6_pieces, p6_chunk_pages, p7_found, p7_clean_pages, p9_found, p9_clean)
+    for f in (p5_found, p5_ranked, p6_found, p6_pieces, p6_chunk_pages, p7_found, p7_clean_pages, p9_found, p9_clean, p10_found, p10_sources, p10_limits, p2_found, p2_languages)
 }
