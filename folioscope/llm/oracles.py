@@ -7,6 +7,20 @@ ranked as (select *, cast(row_number() over (partition by query_id order by scor
 """
 
 ORACLES = {
+    "p1_found": r"""
+with words as (
+  select distinct chunk_id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') w from chunks
+  where content is not null and chunk_id is not null),
+grams as (
+  select distinct chunk_id, hash(w) t, array_to_string(w[i:i+2], ' ') g
+  from (select chunk_id, w, unnest(range(1, len(w) - 1)) i from words)),
+sizes as (select chunk_id, t, count(*) n from grams group by all),
+shared as (
+  select a.chunk_id ca, a.t ta, b.chunk_id cb, b.t tb, count(*) o
+  from grams a join grams b on a.g = b.g and a.chunk_id < b.chunk_id group by all)
+select distinct ca chunk_id_a, cb chunk_id_b
+from shared join sizes x on x.chunk_id = ca and x.t = ta join sizes y on y.chunk_id = cb and y.t = tb
+where o * 5 >= (x.n + y.n - o) * 3""",
     "p5_found": _RANKED + "select query_id, page_id from ranked where rank <= 10",
     "p5_ranked": _RANKED + "select query_id, page_id, score, rank from ranked where rank <= 10",
     "p6_found": """

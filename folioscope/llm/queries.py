@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import language, leakage, site_lines, split, topn, truncation
+from folioscope.llm import language, leakage, neardup, site_lines, split, topn, truncation
 from folioscope.session import read_table
 
 
@@ -103,7 +105,15 @@ def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir)
 
 
+def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.near_copies(read_table(spark, sf_dir, "chunks"), k=3, threshold=Fraction(3, 5))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.chunk_pairs(*_links(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p5_found, p5_ranked, p6_found, p6_pieces, p6_chunk_pages, p7_found, p7_clean_pages, p9_found, p9_clean, p10_found, p10_sources, p10_limits, p2_found, p2_languages)
+    for f in (p5_found, p5_ranked, p6_found, p6_pieces, p6_chunk_pages, p7_found, p7_clean_pages, p9_found, p9_clean, p10_found, p10_sources, p10_limits, p2_found, p2_languages, p1_found)
 }
