@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import language, leakage, neardup, site_lines, split, topn, truncation
+from folioscope.llm import language, leakage, neardup, scans, site_lines, split, topn, truncation
 from folioscope.session import read_table
 
 
@@ -113,7 +113,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.chunk_pairs(*_links(spark, sf_dir))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = [read_table(spark, sf_dir, t) for t in ("parsed_pages", "documents_metadata")]
+    return scans.scan_noise(*scans.study_scans(*tables))
+
+
+def p3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "parsed_pages")
+    return scans.repair_scans(pages, *scans.study_scans(pages, read_table(spark, sf_dir, "documents_metadata")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p5_found, p5_ranked, p6_found, p6_pieces, p6_chunk_pages, p7_found, p7_clean_pages, p9_found, p9_clean, p10_found, p10_sources, p10_limits, p2_found, p2_languages, p1_found)
+    for f in (p5_found, p5_ranked, p6_found, p6_pieces, p6_chunk_pages, p7_found, p7_clean_pages, p9_found, p9_clean, p10_found, p10_sources, p10_limits, p2_found, p2_languages, p1_found, p3_found, p3_pages)
 }
