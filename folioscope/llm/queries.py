@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import language, leakage, neardup, scans, site_lines, split, topn, truncation
+from folioscope.llm import language, leakage, neardup, packing, scans, site_lines, split, topn, truncation
 from folioscope.session import read_table
 
 
@@ -123,7 +123,15 @@ def p3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.repair_scans(pages, *scans.study_scans(pages, read_table(spark, sf_dir, "documents_metadata")))
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "size_limits"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p5_found, p5_ranked, p6_found, p6_pieces, p6_chunk_pages, p7_found, p7_clean_pages, p9_found, p9_clean, p10_found, p10_sources, p10_limits, p2_found, p2_languages, p1_found, p3_found, p3_pages)
+    for f in (p5_found, p5_ranked, p6_found, p6_pieces, p6_chunk_pages, p7_found, p7_clean_pages, p9_found, p9_clean, p10_found, p10_sources, p10_limits, p2_found, p2_languages, p1_found, p3_found, p3_pages, p8_containers, p8_fill)
 }
