@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from folioscope.plans import integrity
+from folioscope.plans import document_queries, evaluation_queries, integrity, retrieval_queries
 
-QUERIES = {**integrity.QUERIES}
-ORACLES = {**integrity.ORACLES}
+_PARTS = (retrieval_queries, evaluation_queries, document_queries, integrity)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
