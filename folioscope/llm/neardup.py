@@ -23,12 +23,12 @@ other columns are not read.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +36,8 @@ from folioscope.llm.hashing import mix, shingle_hashes, text_keys, word_hashes
 from folioscope.session import checkpoint
 
 _PARTS = 64
-_LANES = 3  # 64-bit words of a text's bitmap
+#: 64-bit words of a text's bitmap, and the most shingles for which each is used.
+_WIDTHS = ((2, 58), (4, 116), (8, 232), (16, 464), (32, 1 << 40))
 
 
 def _batches(frames: Iterator[pd.DataFrame], k: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -60,11 +61,30 @@ def _needed(total: np.ndarray, t: Fraction) -> np.ndarray:
     return -(-(num * total) // den)
 
 
-def _prefixes(n: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Short lists of a text of n shingles against smaller ones, and against larger ones."""
-    probe = n - -(-(t.numerator * n) // t.denominator) + 1
-    index = n - _needed(2 * n, t) + 1
-    return np.where(n > 0, probe, 0), np.where(n > 0, index, 0)
+def _prefix(n: np.ndarray, t: Fraction) -> np.ndarray:
+    """Short lists of a text of n shingles: enough that a partner of any size shares one."""
+    return np.where(n > 0, n - -(-(t.numerator * n) // t.denominator) + 1, 0)
+
+
+def _widths(n: np.ndarray) -> np.ndarray:
+    lanes, most = zip(*_WIDTHS)
+    return np.array(lanes)[np.searchsorted(np.array(most), n)]
+
+
+def _bitmaps(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(parity bitmaps of all texts one after the other, lanes of each text)."""
+    lanes = _widths(n)
+    out = np.zeros(int(lanes.sum()), dtype=np.uint64)
+    at = _starts(lanes)
+    for width in np.unique(lanes).tolist():
+        texts = np.flatnonzero(lanes == width)
+        own = grams[np.repeat(lanes == width, n)]
+        bit = (own >> np.uint64(20)) & np.uint64(64 * width - 1)
+        lane, flag = bit >> np.uint64(6), np.uint64(1) << (bit & np.uint64(63))
+        begin = _starts(n[texts])
+        for w in range(width):
+            out[at[texts] + w] = np.bitwise_xor.reduceat(np.where(lane == np.uint64(w), flag, np.uint64(0)), begin)
+    return out, lanes
 
 
 _COUNTED = "chunk_id string, k1 long, k2 long, part int, counts binary"
@@ -89,7 +109,7 @@ def _count_pass(chunks: DataFrame, k: int, bits: int) -> DataFrame:
                 }
             )
         small = np.minimum(sketch, 0xFFFF).astype(np.uint16).reshape(_PARTS, -1)
-        packed = [zlib.compress(p.tobytes(), 1) for p in small]
+        packed = [zstandard.compress(p.tobytes(), 1) for p in small]
         yield pd.DataFrame({"chunk_id": None, "k1": 0, "k2": 0, "part": range(_PARTS), "counts": packed})
 
     return chunks.mapInPandas(scan, _COUNTED)
@@ -101,14 +121,14 @@ def _sketch(counted: DataFrame, bits: int) -> np.ndarray:
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros((1 << bits) // _PARTS, dtype=np.uint32)
         for blob in frame["counts"]:
-            total += np.frombuffer(zlib.decompress(blob), dtype=np.uint16)
-        packed = zlib.compress(np.minimum(total, 0xFFFF).astype(np.uint16).tobytes(), 1)
+            total += np.frombuffer(zstandard.decompress(blob), dtype=np.uint16)
+        packed = zstandard.compress(np.minimum(total, 0xFFFF).astype(np.uint16).tobytes(), 1)
         return pd.DataFrame({"part": frame["part"].iloc[:1], "counts": [packed]})
 
     parts = counted.where("part is not null").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
     out = np.zeros((_PARTS, (1 << bits) // _PARTS), dtype=np.uint16)
     for row in parts:
-        out[row["part"]] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.uint16)
+        out[row["part"]] = np.frombuffer(zstandard.decompress(row["counts"]), dtype=np.uint16)
     return out.reshape(-1)
 
 
@@ -139,11 +159,8 @@ def _post_pass(chunks: DataFrame, k: int, t: Fraction, shared, shards: int, long
                 continue
             grams, n = _distinct(grams, runs)
             owner = np.repeat(np.arange(len(n)), n)
-            bit = (grams >> np.uint64(20)) % np.uint64(64 * _LANES)
-            lane, flag = bit >> np.uint64(6), np.uint64(1) << (bit & np.uint64(63))
-            maps = [
-                np.bitwise_xor.reduceat(np.where(lane == np.uint64(w), flag, np.uint64(0)), _starts(n)) for w in range(_LANES)
-            ]
+            maps, lanes = _bitmaps(grams, n)
+            map_at = _starts(lanes)
             often = sketch[grams & mask]
             order = np.argsort(
                 (owner.astype(np.uint64) << np.uint64(48))
@@ -151,106 +168,152 @@ def _post_pass(chunks: DataFrame, k: int, t: Fraction, shared, shards: int, long
                 | (grams & np.uint64(0xFFFFFFFF)),
             )
             rank = np.arange(len(order)) - np.repeat(_starts(n), n)
-            probe, index = _prefixes(n, t)
-            short = order[rank < np.repeat(probe, n)]
-            rank = rank[rank < np.repeat(probe, n)]
+            # a shingle that the sketch has seen once is in no other text
+            short = (rank < np.repeat(_prefix(n, t), n)) & (often[order] > 1)
+            rank, short = rank[short], order[short]
             who, gram, count = owner[short], grams[short], often[short].astype(np.int64)
-            indexed = rank < index[who]
             blocks = count // long_list + 1
-            where, text, flagged = [mix(gram)], [who], [indexed]
-            for many in np.unique(blocks[blocks > 1]).tolist():
+            single = blocks == 1
+            where, text, ranks = [mix(gram[single])], [who[single]], [rank[single]]
+            for many in np.unique(blocks[~single]).tolist():
                 at = np.flatnonzero(blocks == many)
                 own = (k1[who[at]] % np.uint64(many)).astype(np.int64)
                 for other in range(many):
                     pair = np.minimum(own, other) * many + np.maximum(own, other)
                     where.append(mix(gram[at] ^ mix(pair.astype(np.uint64) + np.uint64(1))))
                     text.append(who[at])
-                    flagged.append(indexed[at])
-            if len(where) > 1:
-                single = blocks == 1
-                where[0], text[0], flagged[0] = where[0][single], text[0][single], flagged[0][single]
-            spot, text, flagged = np.concatenate(where), np.concatenate(text), np.concatenate(flagged)
+                    ranks.append(rank[at])
+            spot, text, ranks = np.concatenate(where), np.concatenate(text), np.concatenate(ranks)
             shard = ((spot >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
             names = (spot & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            by = np.lexsort((names, shard))
-            shard, names, text, flagged = shard[by], names[by], text[by], flagged[by]
+            by = np.argsort((shard.astype(np.uint64) << np.uint64(32)) | names)
+            shard, names, text, ranks = shard[by], names[by], text[by], ranks[by]
             cuts = np.flatnonzero(np.diff(shard)) + 1
             ids, blobs = [], []
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shard)]):
-                used, local = np.unique(text[lo:hi], return_inverse=True)
-                body = b"".join(
+                if lo == hi:
+                    continue
+                mark = np.zeros(len(n), dtype=bool)
+                mark[text[lo:hi]] = True
+                used = np.flatnonzero(mark)
+                local = (np.cumsum(mark) - 1)[text[lo:hi]]
+                entries = b"".join(
                     (
-                        np.array([len(used), hi - lo], dtype=np.int64).tobytes(),
-                        k1[used].tobytes(),
-                        *(m[used].tobytes() for m in maps),
-                        n[used].astype(np.uint32).tobytes(),
                         np.diff(names[lo:hi], prepend=np.uint32(0)).astype(np.uint32).tobytes(),
                         local.astype(np.uint16).tobytes(),
-                        np.packbits(flagged[lo:hi]).tobytes(),
+                        np.minimum(ranks[lo:hi], 0xFFFF).astype(np.uint16).tobytes(),
                     )
                 )
+                packed = zstandard.compress(entries, 1)
+                pick = np.repeat(map_at[used], lanes[used]) + _within(lanes[used])
+                head = np.array([len(used), hi - lo, len(packed)], dtype=np.int64)
                 ids.append(int(shard[lo]))
-                blobs.append(zlib.compress(body, 1))
+                blobs.append(
+                    b"".join((head.tobytes(), packed, k1[used].tobytes(), n[used].astype(np.uint32).tobytes(), maps[pick].tobytes()))
+                )
             yield pd.DataFrame({"shard": ids, "blob": blobs})
 
     return chunks.mapInPandas(scan, "shard int, blob binary")
 
 
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, .. within each run of the given sizes."""
+    return np.arange(int(sizes.sum())) - np.repeat(_starts(sizes), sizes)
+
+
 def _unpack(blob: bytes):
-    body = zlib.decompress(blob)
-    texts, entries = np.frombuffer(body, dtype=np.int64, count=2).tolist()
-    at = 16
-
-    def take(dtype, count):
-        nonlocal at
-        out = np.frombuffer(body, dtype=dtype, count=count, offset=at)
-        at += out.nbytes
-        return out
-
-    keys = take(np.uint64, texts)
-    maps = np.stack([take(np.uint64, texts) for _ in range(_LANES)])
-    n = take(np.uint32, texts).astype(np.int64)
-    names = np.cumsum(take(np.uint32, entries), dtype=np.uint64).astype(np.uint32)
-    local = take(np.uint16, entries).astype(np.int64)
-    flags = np.unpackbits(take(np.uint8, -(-entries // 8)), count=entries).astype(bool)
-    return keys, maps, n, names, local, flags
-
-
-def _merge_shard(frame: pd.DataFrame, t: Fraction) -> pd.DataFrame:
-    """Merge the shard's lists: pairs that share a short list and may still reach T."""
+    texts, entries, packed = np.frombuffer(blob, dtype=np.int64, count=3).tolist()
+    body = zstandard.decompress(blob[24 : 24 + packed])
+    names = np.cumsum(np.frombuffer(body, dtype=np.uint32, count=entries), dtype=np.uint64).astype(np.uint32)
+    local = np.frombuffer(body, dtype=np.uint16, count=entries, offset=4 * entries).astype(np.int64)
+    ranks = np.frombuffer(body, dtype=np.uint16, count=entries, offset=6 * entries).astype(np.int64)
+    at = 24 + packed
+    keys = np.frombuffer(blob[at : at + 8 * texts], dtype=np.uint64)
+    n = np.frombuffer(blob[at + 8 * texts : at + 12 * texts], dtype=np.uint32).astype(np.int64)
+    maps = np.frombuffer(blob[at + 12 * texts :], dtype=np.uint64)
+    return keys, n, maps, names, local, ranks
+
+
+def _merge_shard(frame: pd.DataFrame, t: Fraction, block: int = 2_000_000) -> pd.DataFrame:
+    """Merge the shard's lists: pairs that share a short list and may still reach T.
+
+    A list is in order of text size.  From an entry's place among its text's
+    shingles follow the sizes that a partner may have, a range of the list; the
+    partner's place must allow the same, and the bitmaps of both must.
+    """
     parts = [_unpack(b) for b in frame["blob"]]
     shift = _starts(np.array([len(p[0]) for p in parts]))
+    all_n = np.concatenate([p[1] for p in parts])
+    all_lanes = _widths(all_n)
+    all_maps, all_at = np.concatenate([p[2] for p in parts]), _starts(all_lanes)
     keys, first, back = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
-    maps = np.concatenate([p[1] for p in parts], axis=1)[:, first]
-    n = np.concatenate([p[2] for p in parts])[first]
+    n, lanes, map_at = all_n[first], all_lanes[first], all_at[first]
     names = np.concatenate([p[3] for p in parts])
     text = back[np.concatenate([p[4] + s for p, s in zip(parts, shift)])]
-    flags = np.concatenate([p[5] for p in parts])
-    # within a list the larger texts come first, so a text probes the smaller ones behind it
-    order = np.lexsort((text, -n[text], names))
-    names, text, flags = names[order], text[order], flags[order]
-    new = np.ones(len(names), dtype=bool)
-    new[1:] = (names[1:] != names[:-1]) | (text[1:] != text[:-1])
-    names, text, flags = names[new], text[new], flags[new]
-    found = []
-    here, step = np.arange(len(names)), 0
-    while len(here):
-        step += 1
-        here = here[here + step < len(names)]
-        here = here[names[here] == names[here + step]]
-        a, b = text[here], text[here + step]
-        reach = n[b] * t.denominator >= n[a] * t.numerator
-        here, a, b = here[reach], a[reach], b[reach]
-        ok = flags[here + step]
-        a, b = a[ok], b[ok]
-        if not len(a):
-            continue
-        apart = sum(np.bitwise_count(maps[w][a] ^ maps[w][b]).astype(np.int64) for w in range(_LANES))
+    ranks = np.concatenate([p[5] for p in parts])
+    num, both = t.numerator, t.numerator + t.denominator
+    size = n[text]
+    order = np.argsort((names.astype(np.uint64) << np.uint64(32)) | np.minimum(size, 0xFFFFFFFF).astype(np.uint64), kind="stable")
+    names, text, ranks, size = names[order], text[order], ranks[order], size[order]
+    # the largest partner that an entry's place allows
+    most = (both * (size - ranks) - num * size) // num
+    # only entries that allow a partner of their own size or more can be the smaller side
+    small = np.flatnonzero(most >= size)
+    place = (names.astype(np.uint64) << np.uint64(32)) | size.astype(np.uint64)
+    held = place[small]
+    least = -(-(num * size) // t.denominator)
+    base = names.astype(np.uint64) << np.uint64(32)
+    lo = np.searchsorted(held, base | least.astype(np.uint64), side="left")
+    top = np.minimum(most, size)
+    hi = np.searchsorted(held, base | np.maximum(top, 0).astype(np.uint64), side="right")
+    hi = np.where(top >= least, hi, lo)
+    count = np.maximum(hi - lo, 0)
+    # maps of all texts at every width, wider ones folded
+    folded = {}
+    row_at = {}
+    for width, _ in _WIDTHS:
+        rows = np.flatnonzero(lanes >= width)
+        if not len(rows):
+            break
+        grid = np.zeros((len(rows), width), dtype=np.uint64)
+        for wide in np.unique(lanes[rows]).tolist():
+            of = np.flatnonzero(lanes[rows] == wide)
+            cells = all_maps[map_at[rows[of]][:, None] + np.arange(wide)]
+            grid[of] = np.bitwise_xor.reduce(cells.reshape(len(of), wide // width, width), axis=1)
+        folded[width] = grid
+        at = np.zeros(len(keys), dtype=np.int32)
+        at[rows] = np.arange(len(rows), dtype=np.int32)
+        row_at[width] = at
+    found: list[np.ndarray] = []
+    kept = 0
+    ends = np.cumsum(count)
+    begin = 0
+    while begin < len(count):
+        stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + block, side="right")))
+        many = count[begin:stop]
+        i = np.repeat(np.arange(begin, stop), many)
+        j = small[np.repeat(lo[begin:stop], many) + _within(many)]
+        begin = stop
+        ok = (most[j] >= size[i]) & ((size[j] < size[i]) | (text[j] < text[i]))
+        a, b = text[i[ok]], text[j[ok]]
         total = n[a] + n[b]
-        near = apart <= total - 2 * _needed(total, t)
-        found.append(a[near] * len(keys) + b[near])
-        if step % 64 == 0:
+        spare = total - 2 * _needed(total, t)
+        width = np.minimum(lanes[a], lanes[b])
+        for w, grid in folded.items():
+            own = np.flatnonzero(width == w)
+            if not len(own):
+                continue
+            left, right = row_at[w][a[own]], row_at[w][b[own]]
+            apart = np.zeros(len(own), dtype=np.uint16)
+            for lane in range(w):
+                apart += np.bitwise_count(grid[left, lane] ^ grid[right, lane])
+            near = own[apart <= spare[own]]
+            if len(near):
+                found.append(np.minimum(a[near], b[near]) * len(keys) + np.maximum(a[near], b[near]))
+                kept += len(near)
+        if kept > 4_000_000:
             found = [np.unique(np.concatenate(found))]
+            kept = 0
     pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
     a, b = keys[pairs // max(1, len(keys))].view(np.int64), keys[pairs % max(1, len(keys))].view(np.int64)
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
@@ -322,7 +385,7 @@ def near_copies(
     k: int = 5,
     threshold: Fraction = Fraction(4, 5),
     sketch_bits: int = 22,
-    shard_entries: int = 2_000_000,
+    shard_entries: int = 3_000_000,
     long_list: int = 4_096,
     filter_bits: int = 23,
 ) -> tuple[DataFrame, DataFrame]:
@@ -341,7 +404,7 @@ def near_copies(
     texts = counted.where("part is null").count()
     mean = float(sketch.sum(dtype=np.int64)) / max(1, texts)
     entries = texts * (1 + mean * float(1 - threshold))
-    shards = max(6, int(-(-entries // shard_entries)))
+    shards = max(4, int(-(-entries // shard_entries)))
     shared = spark.sparkContext.broadcast(sketch)
     blobs = _post_pass(rows, k, threshold, shared, shards, long_list)
     pairs = checkpoint(
