@@ -431,3 +431,36 @@ def chunk_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
         .select(F.least("ca", "cb").alias("chunk_id_a"), F.greatest("ca", "cb").alias("chunk_id_b"))
         .distinct()
     )
+
+
+def near_classes(links: DataFrame, members: DataFrame) -> DataFrame:
+    """``chunk_id, class_id, links``: one row per chunk; copies are not expanded.
+
+    The class is the connected component of its text among the links, named by
+    its least chunk id; ``links`` counts the different texts that its text is
+    linked to.  Labels spread by joins and jump to their label's label, so the
+    rounds grow with the logarithm of a component's width; every round is
+    written to the checkpoint folder.
+    """
+    names = members.groupBy("k1", "k2").agg(F.min("chunk_id").alias("name"))
+    a = names.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("name").alias("x"))
+    b = names.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("name").alias("y"))
+    edges = links.select("a1", "a2", "b1", "b2").join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("x", "y")
+    both = checkpoint(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    degree = both.groupBy(F.col("x").alias("name")).agg(F.count("*").alias("links"))
+    label = checkpoint(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("l")))
+    while True:
+        near = both.join(label.select(F.col("x").alias("y"), F.col("l").alias("m")), "y").groupBy("x").agg(F.min("m").alias("m"))
+        spread = label.join(near, "x").select("x", "l", F.least("l", "m").alias("m"))
+        jump = label.select(F.col("x").alias("m"), F.col("l").alias("far"))
+        step = checkpoint(spread.join(jump, "m", "left").select("x", "l", F.least("m", F.coalesce("far", "m")).alias("m")))
+        changed = step.where("l <> m").take(1)
+        label = step.select("x", F.col("m").alias("l"))
+        if not changed:
+            break
+    named = members.join(names, ["k1", "k2"]).select("chunk_id", "name")
+    return (
+        named.join(label.select(F.col("x").alias("name"), F.col("l").alias("class_id")), "name", "left")
+        .join(degree, "name", "left")
+        .select("chunk_id", F.coalesce("class_id", "name").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    )

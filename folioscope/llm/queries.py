@@ -113,6 +113,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.chunk_pairs(*_links(spark, sf_dir))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_classes(*_links(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = [read_table(spark, sf_dir, t) for t in ("parsed_pages", "documents_metadata")]
     return scans.scan_noise(*scans.study_scans(*tables))
@@ -133,5 +137,5 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p5_found, p5_ranked, p6_found, p6_pieces, p6_chunk_pages, p7_found, p7_clean_pages, p9_found, p9_clean, p10_found, p10_sources, p10_limits, p2_found, p2_languages, p1_found, p3_found, p3_pages, p8_containers, p8_fill)
+    for f in (p5_found, p5_ranked, p6_found, p6_pieces, p6_chunk_pages, p7_found, p7_clean_pages, p9_found, p9_clean, p10_found, p10_sources, p10_limits, p2_found, p2_languages, p1_found, p1_classes, p3_found, p3_pages, p8_containers, p8_fill)
 }
