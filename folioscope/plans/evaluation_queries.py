@@ -66,7 +66,9 @@ def benchmark_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieval_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = retrieval.rank_pages(clean_run(spark, sf_dir).drop("rank"), 10)
-    return evaluation.hits(run, read_table(spark, sf_dir, "qrels")).select("query_id", "page_id", "rank", "grade", "hit")
+    return evaluation.hits(run, read_table(spark, sf_dir, "qrels")).select(
+        "query_id", "page_id", "rank", F.coalesce("grade", F.lit(0)).alias("grade"), "hit"
+    )
 
 
 def best_chunk_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +133,7 @@ with a as (with {_RUN}, {_VALUES} select 'by score' as label, family, k, avg(val
 b as (with {_OTHER}, {_VALUES} select 'by mean' as label, family, k, avg(value) as value from vals group by all)
 select label, {_PIVOT} from (from a union all from b) group by all""",
     "retrieval_hits": f"""with {_RUN}, g as (select query_id, page_id, max(score) grade from qrels where score is not null group by all)
-select query_id, page_id, cast(rank as int) rank, grade, coalesce(grade > 0, false) hit from run left join g using (query_id, page_id) where rank <= 10""",
+select query_id, page_id, cast(rank as int) rank, coalesce(grade, 0) grade, coalesce(grade > 0, false) hit from run left join g using (query_id, page_id) where rank <= 10""",
     "best_chunk_per_page": """
 select query_id, page_id, arg_min(c.chunk_id, {'r': c.rank, 'i': c.chunk_id}) chunk_id
 from (select query_id, page_id, unnest(chunks) c from retrieved_pages) group by all""",

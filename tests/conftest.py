@@ -41,7 +41,7 @@ def same_rows(left, right):
     assert sorted(left.columns) == sorted(right.columns)
 
     def cell(v):
-        if v is None or v != v or str(v) == "<NA>":
+        if v is None or str(v) in ("nan", "NaT", "<NA>"):
             return "null"
         return f"{float(v):.6g}" if isinstance(v, float) or hasattr(v, "dtype") and v.dtype.kind == "f" else str(v)
 
