@@ -112,6 +112,16 @@ def run_conflicts(run: DataFrame, queries: DataFrame, pages: DataFrame) -> DataF
     return _union(parts)
 
 
+def query_conflicts(queries: DataFrame) -> DataFrame:
+    """Queries without id or text, and ids that come twice: ``rule, detail``."""
+    parts = [
+        _violations(queries.where("query_id is null"), "no id", F.col("text")),
+        _violations(queries.where(F.coalesce(is_blank(F.col("text")), F.lit(True))), "blank text", F.col("query_id")),
+        _violations(duplicates(queries, "query_id"), "id twice", F.col("query_id")),
+    ]
+    return _union(parts)
+
+
 def vector_conflicts(index: DataFrame, dimension: int) -> DataFrame:
     """Vectors that are missing, of another width, not finite, or zero."""
     v = F.col("embedding")

@@ -211,3 +211,11 @@ def retrieve(
         scored = rank_chunks(scored)
     pages = rank_pages(aggregate_pages(scored, aggregation, decimals), top_k)
     return with_contributors(pages, scored) if contributors else pages
+
+
+def retrieval_payload(queries: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """``query_id, payload``: each query's pages as JSON in rank order; a query without pages has an empty list."""
+    columns = [c for c in ("rank", "page_id", "score", "chunks") if c in retrieved.columns]
+    pages = retrieved.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("pages"))
+    joined = queries.select("query_id").distinct().join(pages, "query_id", "left")
+    return joined.select("query_id", F.coalesce(F.to_json("pages"), F.lit("[]")).alias("payload"))

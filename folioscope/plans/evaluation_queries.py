@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.identity import qrels_identity as identity_of_qrels
 from folioscope.functions.identity import query_set_identity
-from folioscope.operators import evaluation, retrieval
+from folioscope.operators import checks, evaluation, retrieval
 from folioscope.session import read_table
+from folioscope.sources import subset
 
 
 def clean_run(spark: SparkSession, sf_dir: str, top_k: int = 100) -> DataFrame:
@@ -91,6 +92,24 @@ def qrels_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def retrieval_results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = retrieval.rank_pages(clean_run(spark, sf_dir).drop("rank"), 5).select("query_id", "page_id", "rank")
+    return retrieval.retrieval_payload(read_table(spark, sf_dir, "queries"), run)
+
+
+def check_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.query_conflicts(read_table(spark, sf_dir, "queries").select("query_id", "text"))
+
+
+def subset_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The judgments of all report-type documents, with queries and pages numbered anew."""
+    pages = read_table(spark, sf_dir, "corpus").select("page_id", "doc_id", "page_number").distinct()
+    queries = read_table(spark, sf_dir, "queries").select("query_id", "text").distinct()
+    chosen = read_table(spark, sf_dir, "documents_metadata").where("doc_type = 'report'")
+    qrels = read_table(spark, sf_dir, "qrels").where("score is not null").select("query_id", "page_id", "score").distinct()
+    return subset.select_documents(pages, queries, qrels, chosen).qrels.select("query_id", "page_id", "score")
+
+
 _RUN = """
 best as (select query_id, page_id, max(score) score from retrieved_pages where score is not null and not isnan(score) group by all),
 run as (select * from (select *, row_number() over (partition by query_id order by score desc, page_id) rank from best) where rank <= 100)"""
@@ -137,6 +156,19 @@ select query_id, page_id, cast(rank as int) rank, coalesce(grade, 0) grade, coal
     "best_chunk_per_page": """
 select query_id, page_id, arg_min(c.chunk_id, {'r': c.rank, 'i': c.chunk_id}) chunk_id
 from (select query_id, page_id, unnest(chunks) c from retrieved_pages) group by all""",
+    "retrieval_results_json": f"""with {_RUN}
+select query_id, coalesce('[' || string_agg(printf('{{"rank":%d,"page_id":%d}}', rank, page_id), ',' order by rank) || ']', '[]') payload
+from (select distinct query_id from queries) left join (select * from run where rank <= 5) using (query_id) group by all""",
+    "check_queries": r"""
+select 'no id' as rule, text detail from queries where query_id is null
+union all select 'blank text', query_id::varchar from queries where text is null or not regexp_matches(text, '\S')
+union all select 'id twice', query_id::varchar from (select query_id from queries group by all having count(*) > 1)""",
+    "subset_judgments": """
+with p as (select distinct page_id, doc_id, page_number from corpus where doc_id in (select doc_id from documents_metadata where doc_type = 'report')),
+pn as (select page_id, row_number() over (order by page_id) - 1 new_page from (select distinct page_id from p)),
+j as (select distinct query_id, page_id, score from qrels where score is not null and page_id in (select page_id from p) and query_id in (select query_id from queries)),
+qn as (select query_id, row_number() over (order by query_id) - 1 new_query from (select distinct query_id from j))
+select new_query query_id, new_page page_id, score from j join pn using (page_id) join qn using (query_id)""",
     "qrels_of_documents": """
 select doc_id, count(*) judgments, count(distinct query_id) queries
 from qrels join (select distinct page_id, doc_id from corpus) using (page_id) group by all""",
@@ -146,5 +178,6 @@ QUERIES = {
     for f in (
         *(_family(x) for x in evaluation.FAMILIES), eval_per_query, eval_aggregate, eval_report_pivot, qrels_semi_join,
         benchmark_compare, retrieval_hits, best_chunk_per_page, qrels_identity, query_set_hash, qrels_of_documents,
+        retrieval_results_json, check_queries, subset_judgments,
     )
 }
