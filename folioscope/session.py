@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +54,24 @@ def checkpoint(frame: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage with files that outlive any executor."""
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=eager)
+
+
+def materialize(frame: DataFrame) -> DataFrame:
+    """The frame as a Parquet table in the shared checkpoint folder: for rows that are read more than once.
+
+    Smaller than a checkpoint (columns are compressed) and read with column
+    pruning.  The table is removed when this driver ends.
+    """
+    spark = frame.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session or the folder is gone already
+        pass
