@@ -7,8 +7,8 @@ bitwise OR unites their bitmaps; the exact cardinality is the sum of bit counts.
 An occurrence is deleted when its document's bit is set in the bitmap of a line
 over the thresholds.
 
-Keys are two independent 64-bit hashes of the reduced line; a false match
-needs both to collide within one source.
+Keys are two independent 64-bit hashes of source and reduced line; a false
+match needs both to collide.
 
 Defined results: null contents have no lines; documents unknown to the
 metadata, or of a null source, belong to no source and keep their lines; a
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.session import checkpoint
+from folioscope.session import checkpoint, materialize
 
 
 def _reduced(content: Column) -> Column:
@@ -44,43 +44,68 @@ def document_numbers(metadata: DataFrame) -> DataFrame:
     return checkpoint(docs.orderBy("source", "doc_id").withColumn("ordinal", F.monotonically_increasing_id()))
 
 
-def line_occurrences(pages: DataFrame, documents: DataFrame, least_letters: int) -> DataFrame:
-    """``source, k1, k2, slot, bit, page_id, line_no`` of every countable line."""
-    lines = (
-        pages.where("content is not null")
-        .select("page_id", "doc_id", F.posexplode(_reduced(F.col("content"))).alias("line_no", "line"))
-        .withColumn("line", F.trim("line"))
-        .where(_letters(F.col("line")) >= least_letters)
-        .select("page_id", "doc_id", "line_no", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2"))
+def source_sizes(documents: DataFrame) -> DataFrame:
+    """``source, source_no, of_source``: a source's number is its first document's."""
+    return documents.groupBy("source").agg(F.min("ordinal").alias("source_no"), F.count("*").alias("of_source"))
+
+
+def line_occurrences(pages: DataFrame, documents: DataFrame, sizes: DataFrame, least_letters: int) -> DataFrame:
+    """``k1, k2, source_no, slot, bit, page_id, line_no`` of every countable line.
+
+    Lines are hashed before the shuffle by document, which carries an array of
+    hashes per page instead of a row per line.
+    """
+    numbered = F.transform(_reduced(F.col("content")), lambda x, i: F.struct(i.alias("no"), F.trim(x).alias("line")))
+    counted = F.filter(numbered, lambda r: _letters(r["line"]) >= least_letters)
+    hashed = F.transform(
+        counted, lambda r: F.struct(r["no"], F.xxhash64(r["line"]).alias("h1"), F.xxhash64(F.lit(7), r["line"]).alias("h2"))
     )
-    return lines.join(documents, "doc_id").select(
-        "source",
-        "k1",
-        "k2",
-        F.shiftright("ordinal", 6).alias("slot"),
-        F.expr("shiftleft(1L, cast(ordinal % 64 as int))").alias("bit"),
-        "page_id",
-        "line_no",
+    lines = pages.where("content is not null").select("page_id", "doc_id", hashed.alias("lines"))
+    owners = documents.join(sizes.select("source", "source_no"), "source").select("doc_id", "source_no", "ordinal")
+    return (
+        lines.join(owners, "doc_id")
+        .select("page_id", "source_no", "ordinal", F.explode("lines").alias("r"))
+        .select(
+            F.xxhash64("source_no", "r.h1").alias("k1"),
+            F.xxhash64("source_no", "r.h2").alias("k2"),
+            "source_no",
+            F.shiftright("ordinal", 6).alias("slot"),
+            F.expr("shiftleft(1L, cast(ordinal % 64 as int))").alias("bit"),
+            "page_id",
+            F.col("r.no").alias("line_no"),
+        )
     )
 
 
 def line_bitmaps(occurrences: DataFrame) -> DataFrame:
-    """``source, k1, k2, slot, bits``: map-side OR, so a hot line is one row per task and slot."""
-    return occurrences.groupBy("source", "k1", "k2", "slot").agg(F.bit_or("bit").alias("bits"))
+    """``k1, k2, slot, bits, source_no``: map-side OR, so a hot line is one row per task and slot."""
+    return occurrences.groupBy("k1", "k2", "slot").agg(F.bit_or("bit").alias("bits"), F.max("source_no").alias("source_no"))
 
 
-def repeated_lines(bitmaps: DataFrame, documents: DataFrame, least_docs: int, least_share: float) -> DataFrame:
-    """``source, k1, k2, n_docs`` of the lines over both thresholds."""
-    sizes = documents.groupBy("source").agg(F.count("*").alias("of_source"))
-    counts = bitmaps.groupBy("source", "k1", "k2").agg(F.sum(F.bit_count("bits")).alias("n_docs"))
+def repeated_lines(bitmaps: DataFrame, sizes: DataFrame, least_docs: int, least_share: float) -> DataFrame:
+    """``k1, k2, source, n_docs, of_source`` of the lines over both thresholds."""
+    counts = bitmaps.groupBy("k1", "k2").agg(F.sum(F.bit_count("bits")).alias("n_docs"), F.max("source_no").alias("source_no"))
     return (
         counts.where(F.col("n_docs") >= least_docs)
-        .join(sizes, "source")
+        .join(sizes, "source_no")
         .where(F.col("n_docs") >= F.col("of_source") * least_share)
-        .select("source", "k1", "k2", "n_docs", "of_source")
+        .select("k1", "k2", "source", "n_docs", "of_source")
     )
 
 
+def _may_repeat(occurrences: DataFrame, repeated: DataFrame, bits: int = 23) -> DataFrame:
+    """Occurrences whose key falls on a set bit of a fixed table of 2**bits bits.
+
+    The table (2**(bits-6) rows at most, whatever the input) is broadcast, so
+    the lines that occur once never reach the shuffle by key.
+    """
+    slot = F.pmod("k1", F.lit(1 << bits))
+    word, flag = F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(k1, {1 << bits}) % 64 as int))")
+    table = repeated.groupBy(word).agg(F.bit_or(flag).alias("flags"))
+    marked = occurrences.withColumn("word", word).join(F.broadcast(table), "word")
+    return marked.where(F.col("flags").bitwiseAND(flag) != 0).drop("word", "flags")
+
+
 def find_repeated_lines(
     pages: DataFrame,
     metadata: DataFrame,
@@ -90,10 +115,13 @@ def find_repeated_lines(
 ) -> DataFrame:
     """``page_id, line_no, source, n_docs, of_source`` of every occurrence of a repeated line."""
     documents = document_numbers(metadata)
-    found = line_occurrences(pages, documents, least_letters)
+    sizes = source_sizes(documents)
+    # read for the bitmaps and again for the deletion
+    found = materialize(line_occurrences(pages, documents, sizes, least_letters))
     bitmaps = line_bitmaps(found)
-    repeated = bitmaps.join(repeated_lines(bitmaps, documents, least_docs, least_share), ["source", "k1", "k2"])
-    hit = found.join(repeated, ["source", "k1", "k2", "slot"])
+    repeated = repeated_lines(bitmaps, sizes, least_docs, least_share)
+    held = bitmaps.select("k1", "k2", "slot", "bits").join(repeated, ["k1", "k2"])
+    hit = _may_repeat(found.drop("source_no"), repeated).join(held, ["k1", "k2", "slot"])
     return (
         hit.where((F.col("bits").bitwiseAND(F.col("bit"))) != 0)
         .select("page_id", "line_no", "source", "n_docs", "of_source")
