@@ -82,6 +82,52 @@ def score_dense(index: DataFrame, queries: DataFrame, block: int = 1_024, decima
     return _united(parts, spark, _SCORED)
 
 
+_BEST = "query_id long, page_id long, score double"
+
+
+def best_pages_dense(index: DataFrame, queries: DataFrame, top_k: int, block: int = 1_024, decimals: int | None = None) -> DataFrame:
+    """``query_id, page_id, score``: pages by their best chunk, without a row per query and chunk.
+
+    A page among the first ``top_k`` of a query is among the first ``top_k`` of
+    the batch that holds its best chunk, so each batch of chunks sends no more
+    than these (and their ties) on.
+    """
+    check_top_k(top_k)
+    spark = index.sparkSession
+    rows = index.select("page_ids", "embedding")
+    parts = []
+    for ids, vectors in _query_blocks(queries, "embedding", block):
+        shared = spark.sparkContext.broadcast((ids, _unit(np.array(vectors, dtype=np.float64))))
+
+        def score(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, asked = shared.value
+            for frame in frames:
+                sizes = frame["page_ids"].map(len).to_numpy() if len(frame) else np.zeros(0, dtype=int)
+                if not sizes.sum():
+                    continue
+                held = _unit(np.stack(frame["embedding"].to_numpy()).astype(np.float64))
+                pages = np.concatenate(frame["page_ids"].to_numpy()).astype(np.int64)
+                order = np.argsort(pages, kind="stable")
+                pages, chunk = pages[order], np.repeat(np.arange(len(frame)), sizes)[order]
+                first = np.flatnonzero(np.diff(pages, prepend=pages[0] - 1))
+                best = np.maximum.reduceat((held @ asked.T)[chunk], first, axis=0)
+                if decimals is not None:
+                    best = np.round(best, decimals)
+                if not np.isfinite(best).all():
+                    raise RetrievalError("a score is not finite")
+                pages = pages[first]
+                if len(pages) > top_k:
+                    least = np.partition(best, len(pages) - top_k, axis=0)[len(pages) - top_k]
+                    at, query = np.nonzero(best >= least)
+                else:
+                    at, query = np.nonzero(np.ones_like(best, dtype=bool))
+                yield pd.DataFrame({"query_id": ids[query], "page_id": pages[at], "score": best[at, query]})
+
+        parts.append(rows.mapInPandas(score, _BEST))
+    best = _united(parts, spark, _BEST).groupBy("query_id", "page_id").agg(F.max("score").alias("score"))
+    return best
+
+
 def score_late(index: DataFrame, queries: DataFrame, block: int = 256, decimals: int | None = None) -> DataFrame:
     """Exact MaxSim of every query and chunk."""
     spark = index.sparkSession
@@ -201,6 +247,8 @@ def retrieve(
 ) -> DataFrame:
     """``query_id, page_id, score, rank`` (and ``chunks``) for every query."""
     check_top_k(top_k)
+    if index_type == "dense" and aggregation == "max" and not contributors:
+        return rank_pages(best_pages_dense(index, queries, top_k, decimals=decimals), top_k)
     if index_type == "dense":
         scored = score_dense(index, queries, decimals=decimals)
     else:

@@ -58,6 +58,19 @@ def test_dense_scores_are_cosines(spark):
     assert max(abs(got[i, f"c{j:02}"] - want[i, j]) for i in range(3) for j in range(30)) < 1e-6
 
 
+@pytest.mark.parametrize("top_k", [1, 3, 100])
+def test_pruned_pages_equal_the_whole_ranking(spark, top_k):
+    rng = np.random.default_rng(1)
+    m, q = rng.integers(-2, 3, (80, 4)), rng.integers(-2, 3, (5, 4))
+    rows = [(f"c{i:02}", [int(p) for p in rng.choice(12, rng.integers(0, 3), replace=False)], [float(x) for x in v]) for i, v in enumerate(m)]
+    index = spark.createDataFrame(rows, "chunk_id string, page_ids array<long>, embedding array<float>").repartition(5)
+    asked = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(q)], "query_id long, embedding array<float>")
+    whole = R.rank_pages(R.aggregate_pages(R.score_dense(index, asked, decimals=6)), top_k)
+    got = R.retrieve(index, asked, top_k, decimals=6)
+    key = lambda f: sorted((r.query_id, r.page_id, r.rank, r.score) for r in f.collect())
+    assert key(got) == key(whole)
+
+
 def test_late_scores_are_max_sim(spark):
     index = spark.createDataFrame([("a", [1], [[1.0, 0.0], [0.0, 1.0]]), ("b", [2], [[0.5, 0.5]])], "chunk_id string, page_ids array<long>, tokens array<array<float>>")
     asked = spark.createDataFrame([(7, [[1.0, 0.0], [0.0, 2.0]])], "query_id long, tokens array<array<float>>")
