@@ -284,8 +284,8 @@ def page_languages(pages: DataFrame, model: PieceModel, least_words: int = 25) -
                 continue
             gap = total[np.arange(len(code)), code][:, None] - total
             gap[np.arange(len(code)), code] = np.inf
-            # odds per ten words, so that length alone makes nothing certain
-            odds = gap.min(axis=1) / np.maximum(words, 1) * 10
+            # odds per two words, so that length alone makes nothing certain
+            odds = gap.min(axis=1) / np.maximum(words, 1) * 2
             out = pd.DataFrame(
                 {
                     "record_key": frame["doc_id"].to_numpy()[of[change]],
@@ -350,7 +350,7 @@ def query_segments(queries: DataFrame, model: PieceModel, least_words: int = 4,
                                 begin,
                                 k - begin,
                                 text[found[begin].start() : found[k - 1].end()],
-                                round(1 / (1 + math.exp(-min(30.0, gap / words * 10))), 6),
+                                round(1 / (1 + math.exp(-min(30.0, gap / words * 2))), 6),
                             )
                         )
                     begin = k
