@@ -6,6 +6,23 @@ with best as (select query_id, page_id, max(score) score from retrieved_pages
 ranked as (select *, cast(row_number() over (partition by query_id order by score desc, page_id) as int) rank from best)
 """
 
+_LINES = r"""
+with lines as (
+  select page_id, doc_id, unnest(string_split(content, chr(10))) line,
+         unnest(range(len(string_split(content, chr(10))))) line_no
+  from (select distinct page_id, doc_id, content from parsed_pages where content is not null)),
+keyed as (
+  select page_id, doc_id, cast(line_no as int) line_no,
+    regexp_replace(trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g')), '\p{N}+', '0', 'g') k from lines),
+owned as (
+  select k.*, m.publisher from keyed k join (select distinct doc_id, publisher from documents_metadata) m using (doc_id)
+  where length(replace(replace(k, ' ', ''), '0', '')) >= 20),
+sizes as (select publisher, count(distinct doc_id) of_source from documents_metadata group by all),
+repeated as (
+  select publisher, k, count(distinct doc_id) n_docs, of_source from owned join sizes using (publisher) group by publisher, k, of_source
+  having count(distinct doc_id) >= 4 and count(distinct doc_id) >= of_source * 0.2)
+"""
+
 ORACLES = {
     "p1_found": r"""
 with words as (
@@ -28,22 +45,16 @@ select distinct 'page' item_kind, cast(page_id as varchar) item_key from parsed_
 where status = 'success' and length(content) > (select max_size from size_limits where purpose = 'page')
 union select 'chunk', chunk_id from chunks
 where length(content) > (select max_size from size_limits where purpose = 'chunk')""",
-    "p7_found": r"""
-with lines as (
-  select page_id, doc_id, unnest(string_split(content, chr(10))) line,
-         unnest(range(len(string_split(content, chr(10))))) line_no
-  from (select distinct page_id, doc_id, content from parsed_pages where content is not null)),
-keyed as (
-  select page_id, doc_id, cast(line_no as int) line_no,
-    regexp_replace(trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g')), '\p{N}+', '0', 'g') k from lines),
-owned as (
-  select k.*, m.publisher from keyed k join (select distinct doc_id, publisher from documents_metadata) m using (doc_id)
-  where length(replace(replace(k, ' ', ''), '0', '')) >= 20),
-sizes as (select publisher, count(distinct doc_id) of_source from documents_metadata group by all),
-repeated as (
-  select publisher, k from owned join sizes using (publisher) group by publisher, k, of_source
-  having count(distinct doc_id) >= 4 and count(distinct doc_id) >= of_source * 0.2)
-select distinct page_id, line_no from owned join repeated using (publisher, k)""",
+    "p7_found": _LINES + "select distinct page_id, line_no from owned join repeated using (publisher, k)",
+    "p7_lines": _LINES + "select publisher, k as line, n_docs, of_source from repeated",
+    "p7_clean_pages": _LINES + """, hit as (select distinct page_id, line_no from owned join repeated using (publisher, k)),
+texts as (select distinct page_id, content from parsed_pages where content is not null and page_id in (select page_id from hit)),
+kept as (select t.page_id, t.content full_text, line, i from (select page_id, content, unnest(string_split(content, chr(10))) line,
+    unnest(range(len(string_split(content, chr(10))))) i from texts) t
+  where not exists (select 1 from hit h where h.page_id = t.page_id and h.line_no = t.i))
+select page_id, coalesce(string_agg(line, chr(10) order by i), '') content,
+  cast((select count(*) from hit h where h.page_id = texts.page_id) as int) removed
+from texts left join kept using (page_id) group by page_id, texts.content""",
     "p9_found": r"""
 with item_words as (
   select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from eval_items where text is not null),

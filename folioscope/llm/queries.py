@@ -62,6 +62,11 @@ def p7_clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.remove_lines(read_table(spark, sf_dir, "parsed_pages"), _repeated(spark, sf_dir))
 
 
+def p7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = site_lines.repeated_texts(read_table(spark, sf_dir, "parsed_pages"), _repeated(spark, sf_dir))
+    return texts.select(F.col("source").alias("publisher"), "line", "n_docs", "of_source")
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
@@ -74,6 +79,13 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.remove_leaks(read_table(spark, sf_dir, "documents"), _leaks(spark, sf_dir))
 
 
+def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that leaked, with the documents that hold them and their longest run of words."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(
+        F.countDistinct("doc_id").alias("documents"), F.max("n_words").alias("longest_words")
+    )
+
+
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.detect_truncation(read_table(spark, sf_dir, "documents"))
 
@@ -101,6 +113,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.unlabelled_languages(_records(spark, sf_dir))
 
 
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clauses of every query, with language and confidence."""
+    tables = [read_table(spark, sf_dir, t) for t in ("parsed_pages", "documents_metadata", "queries")]
+    model = language.fit_model(language.labelled_sample(*tables), language.vocabulary_pieces())
+    return language.query_segments(tables[2], model)
+
+
 def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir)
 
@@ -137,5 +156,5 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p5_found, p5_ranked, p6_found, p6_pieces, p6_chunk_pages, p7_found, p7_clean_pages, p9_found, p9_clean, p10_found, p10_sources, p10_limits, p2_found, p2_languages, p1_found, p1_classes, p3_found, p3_pages, p8_containers, p8_fill)
+    for f in (p5_found, p5_ranked, p6_found, p6_pieces, p6_chunk_pages, p7_found, p7_lines, p7_clean_pages, p9_found, p9_items, p9_clean, p10_found, p10_sources, p10_limits, p2_found, p2_languages, p2_segments, p1_found, p1_classes, p3_found, p3_pages, p8_containers, p8_fill)
 }

@@ -136,3 +136,11 @@ def remove_lines(pages: DataFrame, found: DataFrame) -> DataFrame:
     lines = F.split("content", "\n")
     clean = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n")
     return kept.select("page_id", clean.alias("content"), F.size("gone").alias("removed"))
+
+
+def repeated_texts(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """``source, line, n_docs, of_source, occurrences``: the repeated lines in reduced form."""
+    reduced = F.element_at(_reduced(F.col("content")), F.col("line_no") + 1)
+    texts = pages.where("content is not null").select("page_id", "content").distinct()
+    lines = found.join(texts, "page_id").select("source", "n_docs", "of_source", F.trim(reduced).alias("line"))
+    return lines.groupBy("source", "line", "n_docs", "of_source").agg(F.count("*").alias("occurrences"))
