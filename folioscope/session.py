@@ -6,10 +6,33 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers of an application, once.
+
+    Functions that run there name it; a worker may not have it on its path.
+    Nothing happens where the package itself came in an archive.
+    """
+    context = spark.sparkContext
+    home = Path(__file__).resolve().parent
+    if context.applicationId in _SHIPPED or not home.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="folioscope-")) / "folioscope.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(home.rglob("*.py")):
+            out.write(file, Path(home.name, file.relative_to(home)))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, name: str = "folioscope") -> SparkSession:
     """A session for one machine; clusters bring their own."""
     session = (
@@ -23,11 +46,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, name: str
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     return session
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the supplied tables, as a lazy Parquet scan."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,6 +62,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     The cluster names a shared folder in ``spark.checkpoint.dir``; only where
     that is unset (tests on one machine) a temporary folder is made.
     """
+    ship(spark)
     context = spark.sparkContext
     known = context._jsc.sc().getCheckpointDir()
     if known.isDefined():
