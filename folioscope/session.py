@@ -82,6 +82,16 @@ def checkpoint(frame: DataFrame, eager: bool = True) -> DataFrame:
     return frame.checkpoint(eager=eager)
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """A scan over all cores where its files make fewer than half as many tasks as there are cores.
+
+    For plain scans before heavy work in Python.  A scan with enough tasks, as
+    any large one has, is returned as it is, so large inputs are not shuffled.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if 2 * frame.rdd.getNumPartitions() < cores else frame
+
+
 def materialize(frame: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared checkpoint folder: for rows that are read more than once.
 
