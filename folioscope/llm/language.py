@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.words import WORD
+from folioscope.session import spread
 
 LANGUAGES = ("en", "fr", "de", "es", "it", "pt")
 #: Names and codes by which a label names a language.
@@ -302,7 +303,7 @@ def page_languages(pages: DataFrame, model: PieceModel, least_words: int = 25) -
 
     rows = pages.where("status = 'success' and content is not null and doc_id is not null").select("doc_id", "content")
     return (
-        rows.mapInPandas(scan, SEGMENTS)
+        spread(rows).mapInPandas(scan, SEGMENTS)
         .groupBy("record_key", "language_code")
         .agg(
             F.sum("words").alias("words"),

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.words import WORD, words
+from folioscope.session import spread
 
 SPANS = "doc_id long, item_id long, first_word int, n_words int, start int, end int, doc_words int"
 STEP = 4
@@ -162,7 +163,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: int = 12, block_wo
     if least < STEP + 1:
         raise ValueError(f"least must be above {STEP}")
     spark = documents.sparkSession
-    corpus = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    corpus = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null"))
     parts = []
     for block in _blocks(items, least, block_words):
         shared = spark.sparkContext.broadcast(SuffixAutomaton(block, least))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.hashing import mix, shingle_hashes, text_keys, word_hashes
-from folioscope.session import checkpoint
+from folioscope.session import checkpoint, spread
 
 _PARTS = 64
 #: 64-bit words of a text's bitmap, and the most shingles for which each is used.
@@ -397,7 +397,7 @@ def near_copies(
     (2**filter_bits bits) are what is broadcast: fixed sizes.
     """
     spark = chunks.sparkSession
-    rows = chunks.where("content is not null and chunk_id is not null").select("chunk_id", "content")
+    rows = spread(chunks.where("content is not null and chunk_id is not null").select("chunk_id", "content"))
     counted = checkpoint(_count_pass(rows, k, sketch_bits))
     members = counted.where("part is null").select("chunk_id", "k1", "k2").distinct()
     sketch = _sketch(counted, sketch_bits)

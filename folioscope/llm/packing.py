@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.hashing import text_keys, word_hashes
-from folioscope.session import checkpoint
+from folioscope.session import checkpoint, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Text between two points at which the tokenizer's own pattern always cuts.
@@ -91,7 +91,7 @@ def token_sizes(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     rows = documents.where("doc_id is not null and text is not null and text <> ''").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), "text"
     )
-    return rows.mapInPandas(scan, _SIZES).distinct()
+    return spread(rows).mapInPandas(scan, _SIZES).distinct()
 
 
 def pack_shard(items: list[tuple[int, int, int, int]], capacity: int, search: int = 8) -> list[list[int]]:
