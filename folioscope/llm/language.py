@@ -19,7 +19,6 @@ columns are not read.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -30,7 +29,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.words import WORD
-from folioscope.session import spread
 
 LANGUAGES = ("en", "fr", "de", "es", "it", "pt")
 #: Names and codes by which a label names a language.
@@ -231,173 +229,297 @@ def labelled_sample(
     return sorted(rows)
 
 
-SEGMENTS = "record_key string, language_code string, words int, longest int, confidence double"
+#: A record's sums: one row per language of its kept segments, one without language for the whole record.
+_SCORES = [f"score_{code}" for code in LANGUAGES]
+_SUMS = "record_key string, language_code string, words long, segments long, confidence double, " + ", ".join(
+    f"{c} double" for c in ("counted", *_SCORES)
+)
+SEGMENTS = (
+    "record_kind string, record_key string, page_id long, first_word int, words int, language_code string, "
+    "segment string, confidence double, kept boolean"
+)
+
+
+def _confidence(gap: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    """Odds per two words, so that length alone makes nothing certain."""
+    odds = gap / np.maximum(counted, 1) * 2
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+
+def _gap(total: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """How far each row's language is above its best other one."""
+    at = np.arange(len(code))
+    gap = total[at, code][:, None] - total
+    gap[at, code] = np.inf
+    return gap.min(axis=1)
+
+
+def _sums(keys: np.ndarray, parts: pd.DataFrame, total: np.ndarray, weight: str) -> pd.DataFrame:
+    """``_SUMS`` of one batch of segments."""
+    kept = parts["kept"].to_numpy()
+    words = parts[weight].to_numpy()
+    rows = pd.DataFrame(
+        {"record_key": keys, "language_code": parts["language_code"], "words": words, "segments": 1, "confidence": parts["confidence"] * words}
+    )[kept]
+    rows = rows.groupby(["record_key", "language_code"], as_index=False).sum()
+    whole = pd.DataFrame(total.astype(float), columns=_SCORES)
+    whole.insert(0, "counted", parts["counted"].to_numpy(dtype=float))
+    whole.insert(0, "record_key", keys)
+    whole = whole.groupby("record_key", as_index=False).sum()
+    out = pd.concat([rows, whole], ignore_index=True).reindex(columns=[c.split()[0] for c in _SUMS.split(", ")])
+    out["language_code"] = out["language_code"].astype(object).where(out["language_code"].notna(), None)
+    return out.fillna({c: 0 for c in out.columns[2:]}).astype({"words": "int64", "segments": "int64"})
+
+
+def _page_parts(frame: pd.DataFrame, scores: WordScores, least_words: int) -> tuple[pd.DataFrame, np.ndarray] | None:
+    """The segments of a batch of pages, ``row`` telling the page, and their scores."""
+    tokens: list[str] = []
+    sizes: list[int] = []
+    owner: list[int] = []
+    block: list[int] = []
+    begins: list[int] = []
+    ends: list[int] = []
+    before: list[int] = []
+    blocks = 0
+    for k, text in enumerate(frame["content"]):
+        blocks += 1
+        at, first = 0, len(tokens)
+        for unit in _units(text):
+            found = WORD.findall(unit.lower())
+            if found:
+                before.append(len(tokens) - first)
+                tokens += found
+                sizes.append(len(found))
+                owner.append(k)
+                block.append(blocks)
+                begins.append(at)
+                ends.append(at + len(unit))
+            else:
+                blocks += 1
+            at += len(unit) + 1
+    if not tokens:
+        return None
+    ids = scores.lookup(tokens)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    unit_scores = np.add.reduceat(scores.rows[ids], starts, axis=0)
+    unit_words = np.add.reduceat(scores.counts[ids], starts)
+    of, part = np.array(owner), np.array(block)
+    # a part too short to tell follows its block
+    edge = np.flatnonzero(np.diff(part, prepend=-1))
+    whole = np.add.reduceat(unit_scores, edge, axis=0).argmax(axis=1)
+    whole = np.repeat(whole, np.diff(np.append(edge, len(part))))
+    ranked = np.sort(unit_scores, axis=1)
+    sure = (ranked[:, -1] - ranked[:, -2] > 6) & (unit_words >= 3)
+    language = np.where(sure, unit_scores.argmax(axis=1), whole)
+    change = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(language, prepend=-1) != 0))
+    counted = np.add.reduceat(unit_words, change)
+    total = np.add.reduceat(unit_scores, change, axis=0)
+    code = language[change]
+    last = np.append(change[1:], len(part)) - 1
+    parts = pd.DataFrame(
+        {
+            "row": of[change],
+            "first_word": np.array(before)[change],
+            "words": np.add.reduceat(np.array(sizes), change),
+            "counted": counted,
+            "language_code": np.array(LANGUAGES, dtype=object)[code],
+            "confidence": _confidence(_gap(total, code), counted),
+            "kept": counted >= least_words,
+            "begin": np.array(begins)[change],
+            "end": np.array(ends)[last],
+        }
+    )
+    counts = (counted > 0).nonzero()[0]
+    return (parts.iloc[counts].reset_index(drop=True), total[counts]) if len(counts) else None
 
 
-def page_languages(pages: DataFrame, model: PieceModel, least_words: int = 25) -> DataFrame:
-    """``record_key, language_code, words, longest, confidence`` per page and language.
+def _page_rows(pages: DataFrame) -> DataFrame:
+    return pages.where("status = 'success' and content is not null and doc_id is not null")
+
+
+def page_segments(pages: DataFrame, model: PieceModel, least_words: int = 25) -> DataFrame:
+    """``SEGMENTS`` of success pages: every part with counted words, in its language.
 
     A page is cut at lines and sentence ends; parts of one block (between blank
-    lines) and one language are joined into segments, and those with at least
-    ``least_words`` counted words are running text.
+    lines) and one language are joined into segments.  ``kept`` are those with
+    at least ``least_words`` counted words, which are running text.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scores = WordScores(shared.value)
         for frame in frames:
-            tokens: list[str] = []
-            sizes: list[int] = []
-            owner: list[int] = []
-            block: list[int] = []
-            blocks = 0
-            for k, text in enumerate(frame["content"]):
-                blocks += 1
-                for unit in _units(text.lower()):
-                    found = WORD.findall(unit)
-                    if found:
-                        tokens += found
-                        sizes.append(len(found))
-                        owner.append(k)
-                        block.append(blocks)
-                    else:
-                        blocks += 1
-            if not tokens:
-                continue
-            ids = scores.lookup(tokens)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            unit_scores = np.add.reduceat(scores.rows[ids], starts, axis=0)
-            unit_words = np.add.reduceat(scores.counts[ids], starts)
-            of, part = np.array(owner), np.array(block)
-            # a part too short to tell follows its block
-            edge = np.flatnonzero(np.diff(part, prepend=-1))
-            whole = np.add.reduceat(unit_scores, edge, axis=0).argmax(axis=1)
-            whole = np.repeat(whole, np.diff(np.append(edge, len(part))))
-            ranked = np.sort(unit_scores, axis=1)
-            sure = (ranked[:, -1] - ranked[:, -2] > 6) & (unit_words >= 3)
-            language = np.where(sure, unit_scores.argmax(axis=1), whole)
-            change = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(language, prepend=-1) != 0))
-            words = np.add.reduceat(unit_words, change)
-            total = np.add.reduceat(unit_scores, change, axis=0)
-            code = language[change]
-            keep = words >= least_words
-            if not keep.any():
-                continue
-            gap = total[np.arange(len(code)), code][:, None] - total
-            gap[np.arange(len(code)), code] = np.inf
-            # odds per two words, so that length alone makes nothing certain
-            odds = gap.min(axis=1) / np.maximum(words, 1) * 2
-            out = pd.DataFrame(
-                {
-                    "record_key": frame["doc_id"].to_numpy()[of[change]],
-                    "language_code": np.array(LANGUAGES)[code],
-                    "words": words,
-                    "longest": words,
-                    "confidence": 1 / (1 + np.exp(-np.clip(odds, -30, 30))) * words,
-                }
-            )[keep]
-            summed = out.groupby(["record_key", "language_code"], as_index=False).agg(
-                {"words": "sum", "longest": "max", "confidence": "sum"}
-            )
-            yield summed
-
-    rows = pages.where("status = 'success' and content is not null and doc_id is not null").select("doc_id", "content")
+            found = _page_parts(frame, scores, least_words)
+            if found:
+                parts = found[0]
+                row = parts["row"].to_numpy()
+                texts = frame["content"].tolist()
+                parts["record_kind"] = "document"
+                parts["record_key"] = frame["doc_id"].to_numpy()[row]
+                parts["page_id"] = frame["page_id"].to_numpy()[row]
+                parts["segment"] = [texts[k][i:j].strip() for k, i, j in zip(row, parts["begin"], parts["end"])]
+                parts["confidence"] = parts["confidence"].round(6)
+                yield parts[[c.split()[0] for c in SEGMENTS.split(", ")]]
+
+    rows = _page_rows(pages).select("page_id", "doc_id", "content").distinct()
+    return rows.mapInPandas(scan, SEGMENTS)
+
+
+def page_languages(pages: DataFrame, model: PieceModel, least_words: int = 25) -> DataFrame:
+    """``record_key, language_code, words, segments, confidence`` per report and language, of its kept segments.
+
+    A report without one has its best language over all counted words, with
+    ``segments`` 0.
+    """
+    shared = pages.sparkSession.sparkContext.broadcast(model)
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scores = WordScores(shared.value)
+        for frame in frames:
+            found = _page_parts(frame, scores, least_words)
+            if found:
+                parts, total = found
+                yield _sums(frame["doc_id"].to_numpy()[parts["row"].to_numpy()], parts, total, "counted")
+
+    return _languages(_page_rows(pages).select("page_id", "doc_id", "content").distinct().mapInPandas(scan, _SUMS))
+
+
+def _languages(sums: DataFrame) -> DataFrame:
+    """The languages of each record: of its kept segments if there is one, else the best of the whole."""
+    total = sums.groupBy("record_key", "language_code").agg(
+        *[F.sum(c).alias(c) for c in ("words", "segments", "confidence", "counted", *_SCORES)]
+    )
+    scores = F.array(*[F.col(c) for c in _SCORES])
+    ordered = F.sort_array(scores, asc=False)
+    best = F.element_at(F.array(*map(F.lit, LANGUAGES)), F.array_position(scores, ordered[0]).cast("int"))
+    odds = F.least(F.lit(30.0), (ordered[0] - ordered[1]) / F.col("counted") * 2)
+    whole = F.col("segments") == 0
+    any_kept = F.max("segments").over(Window.partitionBy("record_key"))
     return (
-        spread(rows).mapInPandas(scan, SEGMENTS)
-        .groupBy("record_key", "language_code")
-        .agg(
-            F.sum("words").alias("words"),
-            F.max("longest").alias("longest"),
-            F.round(F.sum("confidence") / F.sum("words"), 6).alias("confidence"),
+        total.select(
+            "record_key",
+            F.when(whole, best).otherwise(F.col("language_code")).alias("language_code"),
+            F.when(whole, F.col("counted").cast("long")).otherwise(F.col("words")).alias("words"),
+            "segments",
+            F.round(F.when(whole, 1 / (1 + F.exp(-odds))).otherwise(F.col("confidence") / F.col("words")), 6).alias("confidence"),
         )
+        .withColumn("any_kept", any_kept)
+        .where("segments > 0 or any_kept = 0")
+        .drop("any_kept")
     )
 
 
-CLAUSES = "query_id long, language_code string, first_word int, words int, segment string, confidence double"
+def _query_parts(
+    frame: pd.DataFrame, scores: WordScores, least_words: int, least_gap: float
+) -> tuple[pd.DataFrame, np.ndarray] | None:
+    """The clauses of a batch of queries, ``row`` telling the query, and their scores."""
+    out, totals = [], []
+    for row, text in enumerate(frame["text"]):
+        found = list(WORD.finditer(_QUOTED.sub(lambda m: " " * len(m.group()), text)))
+        ids = scores.lookup([m.group().lower() for m in found])
+        # a query that is nothing but a title has the title's language, which is no clause
+        titled = not scores.counts[ids].any()
+        if titled:
+            found = list(WORD.finditer(text))
+            ids = scores.lookup([m.group().lower() for m in found])
+        if not found:
+            continue
+        rows = scores.rows[ids]
+        path = best_path(rows)
+        begin = 0
+        for k in range(1, len(path) + 1):
+            if k < len(path) and path[k] == path[begin]:
+                continue
+            part = rows[begin:k].sum(axis=0)
+            counted = int(scores.counts[ids[begin:k]].sum())
+            gap = float(part[path[begin]] - np.delete(part, path[begin]).max())
+            if counted:
+                kept = not titled and counted >= least_words and gap >= least_gap
+                segment = text[found[begin].start() : found[k - 1].end()]
+                confidence = float(_confidence(np.float64(gap), np.float64(counted)))
+                out.append((row, begin, k - begin, counted, LANGUAGES[path[begin]], segment, confidence, kept))
+                totals.append(part)
+            begin = k
+    columns = ["row", "first_word", "words", "counted", "language_code", "segment", "confidence", "kept"]
+    return (pd.DataFrame(out, columns=columns), np.array(totals)) if out else None
+
+
+def _query_rows(queries: DataFrame) -> DataFrame:
+    return queries.where("query_id is not null and text is not null").select("query_id", "text").distinct()
 
 
 def query_segments(queries: DataFrame, model: PieceModel, least_words: int = 4, least_gap: float = 6.0) -> DataFrame:
-    """The clauses of each query with language, place and confidence.
+    """``SEGMENTS`` of queries: the clauses of each with language, place and confidence.
 
-    Quoted titles are left out first.  A clause has at least ``least_words``
-    counted words and beats every other language by ``least_gap``.
+    Quoted titles are left out first, unless there is nothing else.  ``kept``
+    are clauses with at least ``least_words`` counted words that beat every
+    other language by ``least_gap``.
     """
     shared = queries.sparkSession.sparkContext.broadcast(model)
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scores = WordScores(shared.value)
         for frame in frames:
-            out = []
-            for key, text in zip(frame["query_id"], frame["text"]):
-                bare = _QUOTED.sub(lambda m: " " * len(m.group()), text)
-                found = list(WORD.finditer(bare))
-                if not found:
-                    continue
-                ids = scores.lookup([m.group().lower() for m in found])
-                rows = scores.rows[ids]
-                path = best_path(rows)
-                begin = 0
-                for k in range(1, len(path) + 1):
-                    if k < len(path) and path[k] == path[begin]:
-                        continue
-                    part = rows[begin:k].sum(axis=0)
-                    words = int(scores.counts[ids[begin:k]].sum())
-                    gap = float(part[path[begin]] - np.delete(part, path[begin]).max())
-                    if words >= least_words and gap >= least_gap:
-                        out.append(
-                            (
-                                key,
-                                LANGUAGES[path[begin]],
-                                begin,
-                                k - begin,
-                                text[found[begin].start() : found[k - 1].end()],
-                                round(1 / (1 + math.exp(-min(30.0, gap / words * 2))), 6),
-                            )
-                        )
-                    begin = k
-            yield pd.DataFrame(
-                out, columns=["query_id", "language_code", "first_word", "words", "segment", "confidence"]
-            )
-
-    rows = queries.where("query_id is not null and text is not null").select("query_id", "text").distinct()
-    return rows.mapInPandas(scan, CLAUSES)
+            found = _query_parts(frame, scores, least_words, least_gap)
+            if found:
+                parts = found[0]
+                parts["record_kind"] = "query"
+                parts["record_key"] = frame["query_id"].to_numpy()[parts["row"].to_numpy()].astype(str)
+                parts["page_id"] = None
+                parts["confidence"] = parts["confidence"].round(6)
+                yield parts[[c.split()[0] for c in SEGMENTS.split(", ")]]
+
+    return _query_rows(queries).mapInPandas(scan, SEGMENTS)
+
+
+def query_languages(queries: DataFrame, model: PieceModel, least_words: int = 4, least_gap: float = 6.0) -> DataFrame:
+    """``record_key, language_code, words, segments, confidence`` per query and language, as ``page_languages``."""
+    shared = queries.sparkSession.sparkContext.broadcast(model)
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scores = WordScores(shared.value)
+        for frame in frames:
+            found = _query_parts(frame, scores, least_words, least_gap)
+            if found:
+                parts, total = found
+                yield _sums(frame["query_id"].to_numpy()[parts["row"].to_numpy()].astype(str), parts, total, "words")
+
+    return _languages(_query_rows(queries).mapInPandas(scan, _SUMS))
 
 
 def record_languages(pages: DataFrame, metadata: DataFrame, queries: DataFrame, model: PieceModel) -> DataFrame:
-    """``record_kind, record_key, language_code, words, confidence, labels`` of every record and language."""
-    labels = (
-        metadata.where("doc_id is not null")
-        .groupBy(F.col("doc_id").alias("record_key"))
-        .agg(F.array_distinct(F.flatten(F.collect_set(named_languages(F.col("doc_language"))))).alias("labels"))
-    )
-    documents = page_languages(pages, model).join(labels, "record_key")
-    named = (
-        queries.where("query_id is not null")
-        .groupBy(F.col("query_id"))
-        .agg(F.array_distinct(F.flatten(F.collect_set(named_languages(F.col("language"))))).alias("labels"))
-    )
-    asked = (
-        query_segments(queries, model)
-        .groupBy("query_id", "language_code")
-        .agg(F.sum("words").alias("words"), F.round(F.sum(F.col("confidence") * F.col("words")) / F.sum("words"), 6).alias("confidence"))
-        .join(named, "query_id")
-    )
-    columns = ["record_kind", "record_key", "language_code", "words", "confidence", "labels"]
-    return (
-        documents.withColumn("record_kind", F.lit("document"))
-        .select(columns)
-        .unionByName(
-            asked.withColumn("record_kind", F.lit("query"))
-            .withColumn("record_key", F.col("query_id").cast("string"))
-            .select(columns)
+    """``record_kind, record_key, language_code, words, confidence, segments, labels`` of every record and language.
+
+    ``segments`` counts the kept ones; 0 tells that the whole record was judged,
+    and a record without counted words has no language with confidence 0.
+    """
+
+    def labels(rows: DataFrame, key: str, label: str) -> DataFrame:
+        return rows.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("record_key")).agg(
+            F.array_distinct(F.flatten(F.collect_set(named_languages(F.col(label))))).alias("labels")
         )
+
+    def records(kind: str, found: DataFrame, named: DataFrame) -> DataFrame:
+        return named.join(found, "record_key", "left").select(
+            F.lit(kind).alias("record_kind"),
+            "record_key",
+            "language_code",
+            F.coalesce("words", F.lit(0)).alias("words"),
+            F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+            F.coalesce("segments", F.lit(0)).alias("segments"),
+            "labels",
+        )
+
+    return records("document", page_languages(pages, model), labels(metadata, "doc_id", "doc_language")).unionByName(
+        records("query", query_languages(queries, model), labels(queries, "query_id", "language"))
     )
 
 
 def unlabelled_languages(records: DataFrame) -> DataFrame:
-    """Languages with text in the record that its label does not name."""
+    """Languages with kept segments in the record that its label does not name."""
     return (
-        records.where(~F.array_contains("labels", F.col("language_code")))
+        records.where("segments > 0")
+        .where(~F.array_contains("labels", F.col("language_code")))
         .select("record_kind", "record_key", "language_code")
         .distinct()
     )

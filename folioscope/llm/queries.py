@@ -114,10 +114,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clauses of every query, with language and confidence."""
+    """The segments of every report's pages and the clauses of every query, with language and confidence."""
     tables = [read_table(spark, sf_dir, t) for t in ("parsed_pages", "documents_metadata", "queries")]
     model = language.fit_model(language.labelled_sample(*tables), language.vocabulary_pieces())
-    return language.query_segments(tables[2], model)
+    return language.page_segments(tables[0], model).unionByName(language.query_segments(tables[2], model))
 
 
 def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,6 +115,27 @@ def test_records(spark, model):
     assert empty.count() == 0
 
 
+def test_segments_of_pages_and_short_records(spark, model):
+    short = "le conseil a indiqué"
+    pages = spark.createDataFrame(
+        [(1, "a", "x\n" + EN * 2 + "\n\n" + FR * 3, "success"), (1, "a", "x\n" + EN * 2 + "\n\n" + FR * 3, "success"), (2, "b", short, "success"), (3, "c", "12 34", "success")],
+        "page_id long, doc_id string, content string, status string",
+    )
+    got = {(r.record_key, r.page_id, r.language_code, r.kept): r for r in language.page_segments(pages, model).collect()}
+    long = got["a", 1, "fr", True]
+    assert long.segment == (FR * 3).strip() and long.words == len(FR.split()) * 3 and long.first_word == 1 + 2 * len(EN.split())
+    assert got["b", 2, "fr", False].segment == short and not any(k == "c" for k, *_ in got)
+    meta = spark.createDataFrame([("a", "en"), ("b", "en"), ("c", "en"), ("d", "en")], "doc_id string, doc_language string")
+    asked = spark.createDataFrame([(1, "le conseil?", "en"), (2, "«" + FR + "»", "en"), (3, "12", "en"), (4, EN, "en")], "query_id long, text string, language string")
+    records = language.record_languages(pages, meta, asked, model)
+    rows = {(r.record_kind, r.record_key, r.language_code): r for r in records.collect()}
+    assert len(rows) == 9 and rows["document", "a", "fr"].words == len(FR.split()) * 3 and rows["document", "a", "fr"].segments == 1
+    for key in (("document", "b", "fr"), ("query", "1", "fr"), ("query", "2", "fr")):
+        assert rows[key].segments == 0 and 0.5 < rows[key].confidence < 1
+    assert all(rows[key].confidence == 0 for key in (("document", "c", None), ("document", "d", None), ("query", "3", None)))
+    assert {tuple(r) for r in language.unlabelled_languages(records).collect()} == {("document", "a", "fr")}
+
+
 def test_best_path_switches_only_for_a_gain():
     rows = np.array([[0, -3]] * 5 + [[-3, 0]] * 5, dtype=float)
     assert language.best_path(rows, 10) == [0] * 5 + [1] * 5
