@@ -142,8 +142,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read_table(spark, sf_dir, "parsed_pages")
-    return scans.repair_scans(pages, *scans.study_scans(pages, read_table(spark, sf_dir, "documents_metadata")))
+    tables = [read_table(spark, sf_dir, t) for t in ("parsed_pages", "documents_metadata")]
+    return scans.repair_scans(tables[0], *scans.study_scans(*tables), tables[1])
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

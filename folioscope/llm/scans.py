@@ -20,6 +20,7 @@ chapter names only; empty tables give no rows; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -435,8 +436,17 @@ def scan_noise(noted: DataFrame, fixes: DataFrame, headers: DataFrame) -> DataFr
     return out.distinct()
 
 
-def repair_scans(pages: DataFrame, noted: DataFrame, fixes: DataFrame, headers: DataFrame) -> DataFrame:
-    """``page_id, content``: scanned pages without furniture, mended and reflowed."""
+def repair_scans(
+    pages: DataFrame, noted: DataFrame, fixes: DataFrame, headers: DataFrame, metadata: DataFrame | None = None
+) -> DataFrame:
+    """``page_id, content``: scanned pages without furniture, mended and reflowed.
+
+    A paragraph that runs over a page end stands whole on the page where it
+    begins.  Notices at the edges (they name the publisher in ``metadata``, or
+    stand at the edge of another page of the report) are paragraphs of their
+    own and are stepped over.  Nothing is joined over a failed page, or where
+    two rows claim one page number.
+    """
     furniture = (
         noted.where("kind = 'folio'").select("page_id", "line_no").unionByName(headers).groupBy("page_id").agg(
             F.collect_set("line_no").alias("gone")
@@ -451,21 +461,111 @@ def repair_scans(pages: DataFrame, noted: DataFrame, fixes: DataFrame, headers:
         .agg(F.map_from_entries(F.collect_list(F.struct("word", "fix"))).alias("fixes"))
     )
     rows = scanned_pages(pages).join(furniture, "page_id", "left").join(wrong, "page_id", "left")
-
-    def mend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for page, text, gone, fix in frame.itertuples(index=False):
-                drop = set() if gone is None else set(gone)
-                lines = [line for i, line in enumerate(text.split("\n")) if i not in drop]
-                body = _BROKEN.sub(lambda m: _own(m) if _is_inside(m) else m.group(), "\n".join(lines))
-                for wrong_word, right in (dict(fix) if fix is not None else {}).items():
-                    body = re.sub(re.escape(wrong_word), lambda m, r=right: _cased(m.group(), r), body, flags=re.IGNORECASE)
-                blocks = [" ".join(b.split()) for b in re.split(r"\n\s*\n", body)]
-                out.append((page, "\n\n".join(b for b in blocks if b)))
-            yield pd.DataFrame(out, columns=["page_id", "content"])
-
-    return rows.select("page_id", "content", "gone", "fixes").mapInPandas(mend, "page_id long, content string")
+    if metadata is None:
+        rows = rows.withColumn("publisher", F.lit(None).cast("string"))
+    else:
+        owners = metadata.where("doc_id is not null").groupBy("doc_id").agg(F.max("publisher").alias("publisher"))
+        rows = rows.join(owners, "doc_id", "left")
+    columns = ["report", "page_id", "page_number", "content", "gone", "fixes", "publisher"]
+    rows = rows.withColumn("report", F.coalesce(F.concat(F.lit("d"), "doc_id"), F.concat(F.lit("p"), F.col("page_id").cast("string"))))
+    # pages that did not come through stand between their neighbours
+    lost = pages.where("doc_id is not null and status = 'failed' and metadata['parser'] = 'layout'").select(
+        F.concat(F.lit("d"), "doc_id").alias("report"), "page_number"
+    ).distinct()
+
+    def mend(frame: pd.DataFrame) -> pd.DataFrame:
+        names: set[str] = set()
+        for publisher in frame["publisher"].dropna().unique():
+            names |= {skeleton(w) for w in re.findall(r"[^\W_]+", publisher)}
+        seen: Counter[str] = Counter()
+        kept, mended = [], []
+        for row in frame.itertuples(index=False):
+            if row.content is None:
+                kept.append(None)
+                continue
+            drop = set() if row.gone is None else set(row.gone)
+            lines = [line for i, line in enumerate(row.content.split("\n")) if i not in drop]
+            kept.append(lines)
+            seen.update({_edge_key(lines[i]) for i in _edge_lines(lines)})
+        for row, lines in zip(frame.itertuples(index=False), kept):
+            if lines is None:
+                mended.append(None)
+                continue
+            on_page = Counter(map(_edge_key, lines))
+            notices = set()
+            for i in _edge_lines(lines):
+                key = _edge_key(lines[i])
+                # a line that fills a page is text; notices come once or twice
+                if _line_role(lines[i], names)[0] == "notice" or (key and seen[key] > 1 and on_page[key] <= 2):
+                    notices.add(i)
+            fix = dict(row.fixes) if row.fixes is not None else {}
+            blocks: list[tuple[str, bool]] = []
+            for notice, part in itertools.groupby(range(len(lines)), lambda i: i in notices):
+                if notice:
+                    texts = [lines[i] for i in part]
+                else:
+                    texts = ["\n".join(lines[i] for i in part)]
+                for text in texts:
+                    body = _BROKEN.sub(lambda m: _own(m) if _is_inside(m) else m.group(), text)
+                    for wrong_word, right in fix.items():
+                        body = re.sub(re.escape(wrong_word), lambda m, r=right: _cased(m.group(), r), body, flags=re.IGNORECASE)
+                    blocks += [(t, notice) for t in (" ".join(b.split()) for b in re.split(r"\n\s*\n", body)) if t]
+            mended.append(blocks)
+        _join_pages(frame["page_number"].tolist(), mended)
+        out = [(page, "\n\n".join(t for t, _ in blocks)) for page, blocks in zip(frame["page_id"], mended) if blocks is not None]
+        return pd.DataFrame(out, columns=["page_id", "content"])
+
+    every = rows.select(columns).unionByName(
+        lost.join(rows.select("report").distinct(), "report", "left_semi"), allowMissingColumns=True
+    )
+    return every.groupBy("report").applyInPandas(mend, "page_id long, content string")
+
+
+def _edge_key(line: str) -> str:
+    """A long line with its numbers left out; empty for a short one."""
+    key = " ".join(re.findall(r"[^\W\d_]+", line.lower()))
+    return key if len(key) >= 40 else ""
+
+
+_CLOSED = re.compile(r"[.!?:…][\W_]*$")
+
+
+def _join_pages(numbers: list[int | None], pages: list[list[tuple[str, bool]] | None]) -> None:
+    """Moves what continues a paragraph of an earlier page to its end; blocks are (text, whether a notice)."""
+    claims = Counter(n for n in numbers if not pd.isna(n))
+    order = sorted((i for i, n in enumerate(numbers) if not pd.isna(n)), key=lambda i: numbers[i])
+    open_at: tuple[int, int] | None = None
+    for i in order:
+        blocks = pages[i]
+        if blocks is None or claims[numbers[i]] > 1:
+            open_at = None
+            continue
+        prose = [k for k, (_, notice) in enumerate(blocks) if not notice]
+        if not prose:
+            continue
+        if open_at is not None:
+            at, k = open_at
+            joined = _continued(pages[at][k][0], blocks[prose[0]][0])
+            if joined is not None:
+                pages[at][k] = (joined, False)
+                del blocks[prose[0]]
+                if len(prose) == 1:
+                    continue
+                prose = [k for k, (_, notice) in enumerate(blocks) if not notice]
+        open_at = (i, prose[-1])
+
+
+def _continued(tail: str, head: str) -> str | None:
+    """The two parts of one paragraph as one; None where the second does not continue the first."""
+    broken = _ENDS_BROKEN.search(tail)
+    if broken and head[:1].isalpha():
+        return _BROKEN.sub(lambda m: _own(m) if _is_inside(m) else m.group(), f"{tail}\n{head}")
+    if _CLOSED.search(tail) or not tail or "|" in tail or "|" in head or not head[:1].isalnum():
+        return None
+    # a small letter goes on; a name, a noun or a number does so behind running text only
+    if head[:1].islower() or (len(tail.split()) >= 12 and len(head.split()) >= 4 and _CLOSED.search(head)):
+        return f"{tail} {head}"
+    return None
 
 
 #: First parts after which a hyphen at a line end is the word's own.

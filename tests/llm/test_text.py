@@ -167,6 +167,22 @@ def test_scan_noise(spark):
     assert scans.scan_noise(*scans.study_scans(pages.limit(0), meta)).count() == 0
 
 
+def test_paragraphs_over_page_ends(spark):
+    notice = "Compiled and reviewed by Acme Group group accounting in 2017."
+    texts = {
+        0: f"Whole.\n\nThe dividend proposal of the bank was re-\n{notice}", 1: f"{notice}\nstated in the year\nand grew",
+        2: "once again in the region.\n\nThe loan book fell", 3: None, 4: "in a failed neighbour.\n\nOutlook", 5: "New things began here.",
+    }
+    rows = [(i, "d", i, t, "success" if t else "failed", {"parser": "layout"}) for i, t in texts.items()]
+    pages = spark.createDataFrame([*rows, rows[0]], "page_id long, doc_id string, page_number int, content string, status string, metadata map<string,string>")
+    meta = spark.createDataFrame([("d", "Acme Group")], "doc_id string, publisher string")
+    got = {r.page_id: r.content for r in scans.repair_scans(pages, *scans.study_scans(pages, meta, top=8), meta).collect()}
+    assert got == {
+        0: f"Whole.\n\nThe dividend proposal of the bank was restated in the year and grew once again in the region.\n\n{notice}",
+        1: notice, 2: "The loan book fell", 4: "in a failed neighbour.\n\nOutlook", 5: "New things began here.",
+    }
+
+
 def test_endings(spark):
     cases = {
         "It ended well.": "sentence", "Was it? ": "sentence", "It ended (more)": "open", "It ended [...]": "open", "once again. …": "sentence",
