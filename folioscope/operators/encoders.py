@@ -54,10 +54,10 @@ class HashEncoder:
 
 @dataclass(frozen=True)
 class HashTokenEncoder:
-    """One unit vector per word, its direction drawn from the word's MD5."""
+    """One unit vector per word, its direction drawn from the word's MD5; every word, unless ``most_tokens`` is set."""
 
     dimension: int = 16
-    most_tokens: int = 512
+    most_tokens: int | None = None
     kind: str = field(default="late_interaction", init=False)
 
     def encode(self, texts: list[str]) -> list[list[list[float]]]:

@@ -95,3 +95,8 @@ def test_registry_and_description(spark):
     assert C.list_chunker_options("token")["chunk_size"]["default"] == 2048
     with pytest.raises(ChunkingError):
         C.chunk(pages(spark, GAPS), C.ChunkingConfig("sentence", {"nonsense": 1}))
+
+
+def test_token_encoder_encodes_every_word():
+    (vectors,) = HashTokenEncoder(4).encode(["word " * 600 + "tail"])
+    assert len(vectors) == 601 and vectors[-1] == HashTokenEncoder(4).encode(["tail"])[0][0]
