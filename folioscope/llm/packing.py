@@ -94,12 +94,12 @@ def token_sizes(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return spread(rows).mapInPandas(scan, _SIZES).distinct()
 
 
-def pack_shard(items: list[tuple[int, int, int, int]], capacity: int, search: int = 8) -> list[list[int]]:
+def pack_shard(items: list[tuple[int, int, int, int]], capacity: int) -> list[list[int]]:
     """Bins of item positions; ``items`` are (size, source bit, cluster bit, tie).
 
-    ``room`` is ordered by (residual, bin).  From the first bin that fits, up to
-    ``search`` bins are tried for one without the item's source; the cluster is
-    never shared, whatever the length of the search.
+    ``room`` is ordered by (residual, bin).  From the first bin that fits, all
+    about as tight ones are tried for one without the item's source; the cluster
+    is never shared, whatever the length of the search.
     """
     order = sorted(range(len(items)), key=lambda i: (-items[i][0], items[i][3]))
     room: list[tuple[int, int]] = []
@@ -115,13 +115,12 @@ def pack_shard(items: list[tuple[int, int, int, int]], capacity: int, search: in
             residual, bin_no = room[k]
             if clusters[bin_no] & cluster:
                 continue
+            if chosen >= 0 and residual - tightest > max(4, capacity // 256):
+                break
             if chosen < 0:
                 chosen = k
             if not sources[bin_no] & source:
-                if residual - tightest <= max(4, capacity // 256) or chosen == k:
-                    chosen = k
-                break
-            if k - at >= search:
+                chosen = k
                 break
         if chosen < 0:
             bins.append([i])

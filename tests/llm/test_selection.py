@@ -189,3 +189,8 @@ def test_leaks(spark, block_words):
         assert r.dropped or len(words(r.text)) == len(words(text[r.doc_id])) - r.removed_words
     assert leakage.find_leaks(frame.limit(0), asked).count() == 0
     assert leakage.find_leaks(frame, asked.limit(0)).count() == 0
+
+
+def test_search_goes_on_among_equally_tight_bins():
+    items = [(60, 1, 0, i) for i in range(20)] + [(60, 2, 0, 20), (40, 1, 0, 21)]
+    assert [20, 21] in packing.pack_shard(items, 100)
