@@ -5,6 +5,10 @@ for every text the required overlap T splits its shingles into the rarest ones,
 whose short lists are merged, and the rest, whose long lists are only probed by
 binary search for the texts that the merge brought up.
 
+It departs from DivideSkip in this: one shared short list makes a pair come up,
+by ranges of text size instead of a heap merge with overlap counts; long lists
+are never built, the probe is of the partner's whole shingle set.
+
 1. One pass counts all shingles in a sketch of fixed size (its order decides
    which lists are short; any order gives the same result) and keys each text
    by its words, so copies are one text from here on.
