@@ -1,5 +1,9 @@
 """SQL twins of the queries that SQL can express on whole tables."""
 
+from __future__ import annotations
+
+from folioscope.llm import truncation
+
 _RANKED = """
 with best as (select query_id, page_id, max(score) score from retrieved_pages
   where query_id is not null and page_id is not null and score is not null and not isnan(score) group by all),
@@ -23,7 +27,64 @@ repeated as (
   having count(distinct doc_id) >= 4 and count(distinct doc_id) >= of_source * 0.2)
 """
 
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _kind() -> str:
+    """The kind of an ending, from the fixed patterns; SQL has no look-ahead, so years are asked for by themselves."""
+    (notes, notes_form), *forms = truncation._FORMS
+    cases = [f"when regexp_matches(line, {_quoted(notes_form)}) then '{notes}'"]
+    cases += [
+        f"""when regexp_matches(bare, {_quoted(truncation._SENTENCE)}) and not (regexp_matches(bare, '(^|\\s)\\d[\\d.,]*\\.$')
+            and not regexp_matches(bare, '(^|\\s)(19|20)\\d\\d\\.([\\d.,]*\\.)?$')) then 'sentence'""",
+        "when bare <> line then 'open'",
+    ]
+    cases += [f"when regexp_matches(line, {_quoted(form)}) then '{name}'" for name, form in forms]
+    return "case when trim(line) = '' then 'none' " + " ".join(cases) + " else 'open' end"
+
+
+_SHAPE = r"""regexp_replace(regexp_replace(regexp_replace(line, '^\s*#{1,6}\s+', ''), '\p{Lu}\p{Ll}{4,}', 'N', 'g'), '[\d.,]*\d', '0', 'g')"""
+_ENDINGS = f"""
+with texts as (select doc_id, source, text, length(text) chars, strlen(text) bytes,
+    list_extract(string_split(rtrim(text, {_quoted(truncation._BLANK)}), chr(10)), -1) line from documents where text is not null),
+endings as (select *, {_kind()} ending, {_SHAPE} shape
+  from (select *, regexp_replace(line, {_quoted(truncation._MARK)}, '') bare from texts)),
+counts as (select source, unit, size, count(*) n from (
+    select source, 'chars' unit, chars size from endings union all select source, 'bytes', bytes from endings) group by all),
+risks as (select *, sum(n) over (partition by source, unit order by size desc rows unbounded preceding) at_risk from counts),
+near as (select *, sum(n) over (partition by source, unit order by size range between 64 preceding and 64 following) - n near_n,
+    max(at_risk) over (partition by source, unit order by size range between 64 preceding and 64 following) * 128.0 near_risk from risks),
+tested as (select *, case when n > expected then exp(n - expected + n * ln(expected / n)) else 1.0 end p
+  from (select *, (near_n + 1.0) / near_risk * at_risk expected from near)),
+ranked as (select *, rank() over (partition by source, unit order by p) place, count(*) over (partition by source, unit) tests from tested),
+limits as (select source, unit, size, n from (
+    select *, max(case when p <= 0.001 * place / tests then place end) over (partition by source, unit) furthest from ranked)
+  where place <= furthest)
+"""
+_CUT = _ENDINGS + f""",
+inside as (select {_SHAPE} shape, count(*) inside from (
+    select rtrim(line, {_quoted(truncation._BLANK)}) line from (
+      select unnest(list_slice(string_split(text, chr(10)), 1, -2)) line from texts where contains(text, chr(10))))
+  where length(line) > 0 and right(line, 1) not in ('.', '!', '?') group by all),
+at_ends as (select shape, count(*) at_end from endings where ending in ('open', 'list', 'heading', 'table') group by all),
+whole as (select shape from inside join at_ends using (shape) where inside >= 0.6 * (inside + at_end + 1)),
+placed as (select e.*, exists (select 1 from limits l where l.source is not distinct from e.source
+    and (l.unit = 'chars' and l.size = e.chars or l.unit = 'bytes' and l.size = e.bytes)) at_limit,
+    shape in (select shape from whole) known from endings e),
+judged as (select *, case when at_limit then ending = 'open' or ending in ('list', 'heading', 'table') and not known
+    else ending = 'open' and not known end cut from placed)
+"""
+
 ORACLES = {
+    "p10_limits": _ENDINGS + "select source, unit, cast(size as int) size, cast(n as bigint) n from limits",
+    "p10_found": _CUT + "select distinct doc_id from judged where cut",
+    "p10_sources": _CUT + """
+select source, count(*) texts, count(*) filter (cut) cut, round(count(*) filter (cut) / count(*), 6) share,
+  count(*) filter (cut and at_limit) cut_at_limit, count(*) filter (cut and not at_limit) cut_in_transfer
+from judged group by source""",
     "p1_found": r"""
 with words as (
   select distinct chunk_id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') w from chunks

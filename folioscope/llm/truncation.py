@@ -2,11 +2,18 @@
 
 For each source the discrete hazard of every text length (in characters and in
 bytes) is tested against the hazards around it; lengths that pass a
-Benjamini-Hochberg control within the source are its limits.  A text is
-truncated when it ends openly - inside a word or sentence, mark and debris of
-the cut aside.  A text at a limit is also truncated when it ends in a list
-entry, heading or table row whose form is not known as whole.
-Forms known as whole are learned from all lines inside all texts.
+Benjamini-Hochberg control within the source are its limits.  Two classes of
+cut texts come out:
+
+``limit``  an incomplete ending at a limit: anything but a complete sentence or
+    form.  Open endings need no further sign there; list entries, headings and
+    table rows are incomplete where their form is not known as whole.
+``transfer``  an open ending at any other length, where no limit speaks for a
+    cut: it counts only if its form is not known as whole.
+
+A form is a line with names and numbers masked.  It is known as whole if at
+least ``whole_share`` of its occurrences stand inside texts, where no cut
+reaches, rather than at ends; a share, so it holds at every size.
 
 Defined results: null and blank texts are not truncated; a null source is a
 source of its own; repeated rows count in the hazards as often as they occur
@@ -75,22 +82,32 @@ def text_endings(documents: DataFrame) -> DataFrame:
     )
 
 
-def whole_forms(documents: DataFrame, least: int = 3) -> DataFrame:
-    """Shapes of lines without a full stop that stand inside texts at least ``least`` times."""
+def whole_forms(documents: DataFrame, endings: DataFrame, whole_share: float = 0.6) -> DataFrame:
+    """Shapes of lines without a full stop that stand inside texts far more often than at ends.
+
+    Inside and end occurrences grow alike, so the share does not depend on the
+    size of the collection; one occurrence more at ends keeps chance meetings
+    of a few lines from counting.
+    """
     lines = F.split("text", "\n")
-    return (
+    inside = (
         documents.where("text is not null")
         .select(F.explode(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("line"))
         .withColumn("line", F.rtrim("line", F.lit(_BLANK)))
         .where((F.length("line") > 0) & ~F.substring(F.col("line"), -1, 1).isin(".", "!", "?"))
         .groupBy(_shape(F.col("line")).alias("shape"))
-        .agg(F.count("*").alias("seen"))
-        .where(F.col("seen") >= least)
+        .agg(F.count("*").alias("inside"))
+    )
+    ends = endings.where("shape is not null").groupBy("shape").agg(F.count("*").alias("at_end"))
+    # only shapes that some text ends in are ever looked up
+    return (
+        ends.join(inside, "shape")
+        .where(F.col("inside") >= whole_share * (F.col("inside") + F.col("at_end") + 1))
         .select("shape")
     )
 
 
-def length_limits(endings: DataFrame, span: int = 64, level: float = 0.01, least: int = 3) -> DataFrame:
+def length_limits(endings: DataFrame, span: int = 64, level: float = 0.001) -> DataFrame:
     """``source, unit, size, n, at_risk, p`` of the lengths whose hazard stands out.
 
     Rows are counted by (source, unit, length) first, so the windows see
@@ -110,7 +127,7 @@ def length_limits(endings: DataFrame, span: int = 64, level: float = 0.01, least
         .withColumn("hazard", F.col("n") / F.col("at_risk"))
         .withColumn("near_n", F.sum("n").over(near) - F.col("n"))
         .withColumn("near_risk", F.max("at_risk").over(near) * 2.0 * span)
-        .withColumn("expected", (F.col("near_n") + 0.5) / F.col("near_risk") * F.col("at_risk"))
+        .withColumn("expected", (F.col("near_n") + 1.0) / F.col("near_risk") * F.col("at_risk"))
         .withColumn(
             "p",
             F.when(
@@ -125,18 +142,26 @@ def length_limits(endings: DataFrame, span: int = 64, level: float = 0.01, least
     passing = ranked.withColumn(
         "last", F.max(F.when(F.col("p") <= level * F.col("place") / F.col("tests"), F.col("place"))).over(own)
     )
-    return passing.where((F.col("place") <= F.col("last")) & (F.col("n") >= least)).select(
+    return passing.where(F.col("place") <= F.col("last")).select(
         "source", "unit", "size", "n", "at_risk", "hazard", "p"
     )
 
 
-def detect_truncation(documents: DataFrame, least_forms: int = 3, level: float = 0.01) -> DataFrame:
-    """``doc_id, source, chars, ending, limit_unit, limit_size, truncated`` of every text."""
+def detect_truncation(
+    documents: DataFrame, whole_share: float = 0.6, level: float = 0.001, use_limits: bool = True
+) -> DataFrame:
+    """``doc_id, source, chars, ending, limit_unit, limit_size, cut_class, truncated`` of every text.
+
+    ``cut_class`` is limit, transfer or null.  ``use_limits`` off leaves the
+    hazards out, which shows what they decide.
+    """
     endings = checkpoint(text_endings(documents))
     limits = length_limits(endings, level=level).select(F.col("source").alias("s"), "unit", "size")
+    if not use_limits:
+        limits = limits.where("false")
     here = lambda unit: limits.where(F.col("unit") == unit).select("s", F.col("size").alias(unit + "_limit")).distinct()
     by_chars, by_bytes = here("chars"), here("bytes")
-    forms = whole_forms(documents, least_forms).select(F.col("shape").alias("whole"))
+    forms = whole_forms(documents, endings, whole_share).select(F.col("shape").alias("whole"))
     placed = (
         endings.join(by_chars, endings["source"].eqNullSafe(by_chars["s"]) & (F.col("chars") == F.col("chars_limit")), "left")
         .drop("s")
@@ -144,13 +169,13 @@ def detect_truncation(documents: DataFrame, least_forms: int = 3, level: float =
         .drop("s")
         .withColumn("at_limit", F.col("chars_limit").isNotNull() | F.col("bytes_limit").isNotNull())
     )
-    # only endings that the table of whole forms decides are looked up in it
-    doubted = F.col("at_limit") & F.col("ending").isin("list", "heading", "table")
-    asked = F.when((F.col("ending") == "open") | doubted, F.col("shape"))
-    known = placed.withColumn("asked", asked)
+    is_open = F.col("ending") == "open"
+    # a limit decides open endings; there the forms decide what may be a fragment, elsewhere what is open
+    doubted = F.when(F.col("at_limit"), F.col("ending").isin("list", "heading", "table")).otherwise(is_open)
+    known = placed.withColumn("asked", F.when(doubted, F.col("shape")))
     looked = known.where("asked is not null").join(forms, F.col("asked") == F.col("whole"), "left")
     judged = looked.withColumn("truncated", F.col("whole").isNull()).drop("whole")
-    rest = known.where("asked is null").withColumn("truncated", F.lit(False))
+    rest = known.where("asked is null").withColumn("truncated", F.col("at_limit") & is_open)
     return judged.unionByName(rest).select(
         "doc_id",
         "source",
@@ -158,15 +183,17 @@ def detect_truncation(documents: DataFrame, least_forms: int = 3, level: float =
         "ending",
         F.when(F.col("chars_limit").isNotNull(), "chars").when(F.col("bytes_limit").isNotNull(), "bytes").alias("limit_unit"),
         F.coalesce("chars_limit", "bytes_limit").alias("limit_size"),
+        F.when(F.col("truncated") & F.col("at_limit"), "limit").when(F.col("truncated"), "transfer").alias("cut_class"),
         "truncated",
     )
 
 
 def truncation_report(judged: DataFrame) -> DataFrame:
-    """Texts, cut texts, their share and the cuts at a limit, per source."""
+    """Texts, cut texts, their share, and the cuts at a limit and in transfer, per source."""
     return judged.groupBy("source").agg(
         F.count("*").alias("texts"),
         F.count_if("truncated").alias("cut"),
         F.round(F.count_if("truncated") / F.count("*"), 6).alias("share"),
-        F.count_if(F.col("truncated") & F.col("limit_size").isNotNull()).alias("cut_at_limit"),
+        F.count_if(F.col("cut_class") == "limit").alias("cut_at_limit"),
+        F.count_if(F.col("cut_class") == "transfer").alias("cut_in_transfer"),
     )

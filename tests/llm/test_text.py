@@ -213,3 +213,30 @@ def test_truncation_finds_limits_and_cut_texts(spark):
     assert 600 in {r["size"] for r in limits}
     assert sum(r.texts for r in truncation.truncation_report(judged).collect()) == judged.count()
     assert truncation.detect_truncation(frame.limit(0)).count() == 0
+
+
+def test_limits_decide_which_endings_are_cut(spark):
+    # a form that stands whole inside many texts is cut where a limit ends it, and whole elsewhere
+    rng = random.Random(7)
+    rows = []
+    for i in range(300):
+        body = " ".join("some words of a sentence here." for _ in range(rng.randrange(4, 12)))
+        rows.append((i, f"Net result of the group\n{body}\nOutlook for the group\n{body}"))
+    padded = lambda last, size: "z" * (size - len(last) - 2) + ".\n" + last
+    rows += [(1000 + i, padded(f"The group of {'x' * i} grew in the fir", 900)) for i in range(12)]
+    rows += [(2000, padded("Net result of the group", 777)), (3000, padded("Outlook for the group", 900))]
+    frame = spark.createDataFrame([(d, t, "a") for d, t in rows], "doc_id long, text string, source string")
+    on = {r.doc_id: r.cut_class for r in truncation.detect_truncation(frame).where("truncated").collect()}
+    off = {r.doc_id: r.cut_class for r in truncation.detect_truncation(frame, use_limits=False).where("truncated").collect()}
+    assert on == {3000: "limit"} | {1000 + i: "limit" for i in range(12)}
+    assert off == {1000 + i: "transfer" for i in range(12)}
+
+
+def test_whole_forms_do_not_depend_on_size(spark):
+    def whole(times):
+        rows = [f"Net result\nA text.\nOutlook of {i % 7}" if i % 4 else "Outlook of 3\nA text.\nNet result" for i in range(20 * times)]
+        frame = spark.createDataFrame([(i, t, "a") for i, t in enumerate(rows)], "doc_id long, text string, source string")
+        return {r.shape for r in truncation.whole_forms(frame, truncation.text_endings(frame)).collect()}
+
+    # inside 15 of 21 times, against inside 5 of 21 times
+    assert whole(1) == whole(20) == {"Net result"}
