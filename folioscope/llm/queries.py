@@ -138,12 +138,12 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = [read_table(spark, sf_dir, t) for t in ("parsed_pages", "documents_metadata")]
-    return scans.scan_noise(*scans.study_scans(*tables))
+    return scans.scan_noise(scans.study_scans(*tables))
 
 
 def p3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = [read_table(spark, sf_dir, t) for t in ("parsed_pages", "documents_metadata")]
-    return scans.repair_scans(tables[0], *scans.study_scans(*tables), tables[1])
+    return scans.repair_scans(tables[0], scans.study_scans(*tables), tables[1])
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

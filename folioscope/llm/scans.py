@@ -1,12 +1,13 @@
 """Noise of scanned pages found and repaired.
 
-Word counts of all scanned pages give a vocabulary of frequent words.  Skip-gram
-vectors of its most frequent words come from all word pairs within a window:
-the factors of their shifted pointwise mutual information, which is what
-skip-gram with negative sampling converges to.  A rare word is linked to the
-frequent neighbours that a few plausible glyph edits turn it into; the count,
-and the fit of the neighbour's vector to the context, choose among them.  Then
-furniture is removed, broken words are joined and lines are reflowed.
+Word counts of all scanned pages give a vocabulary of frequent words, and the
+pairs within a window give each of them a skip-gram vector.  A rare word is
+linked to the frequent neighbours that plausible glyph edits turn it into, or,
+if there is none, to the words that all pages' counts hold; at each of its
+occurrences the vectors of the candidates are held against the words around
+it, and the best one is taken if counts and context together speak for a
+misreading.  Then furniture is removed, broken words are joined and lines are
+reflowed.
 
 Noise of a page: ``hyphen`` a word broken at a line end by a mark that is not
 its own; ``chars`` misread characters in the running text; ``header`` a line at
@@ -15,7 +16,8 @@ of the report have one; ``folio`` a line there that is only the page number.
 
 Defined results: pages that are not scanned, not successful or null have no
 noise; repeated rows count once; a report without publisher has headers with
-chapter names only; empty tables give no rows; other columns are not read.
+chapter names only; a word that no candidate explains is left as it is; empty
+tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.llm import skipgram
 from folioscope.session import checkpoint
 
 #: What a scanner reads, and what it saw.
@@ -40,7 +44,6 @@ GLYPHS = (
     ("ri", "n"), ("ii", "u"), ("cl", "d"), ("(l", "d"), ("rn", "m"), ("vv", "w"), ("b", "h"), ("m", "in"), ("m", "rn"), ("l", "i"),
     ("u", "ll"), ("li", "h"),
 )
-_ODD = re.compile(r"[^\W\d_][01!|(†€](?=[^\W\d_])|[æﬁﬂ†]|[^\W\d_][(†|]|[(†|!][^\W\d_]")
 _MARKS = "-‐­¬"
 _BROKEN = re.compile(rf"([{_MARKS}])[ \t]*\n\s*")
 _ENDS_BROKEN = re.compile(rf"([^\W\d_]{{2,}})([{_MARKS}])[ \t]*$")
@@ -53,7 +56,7 @@ _NUMBERED = re.compile(r"^[\W_]*[\dlOoI]{1,4}\s{2,}\S|\S\s{2,}[\dlOoI]{1,4}[\W_]
 EDGE = 5
 
 
-_ALIKE = str.maketrans("1!|l0(eæ†589h", "iiiiocc" + "atsbgb")
+_ALIKE = str.maketrans("1!|l0(eæ†5896h€", "iiiiocc" + "atsbgbbc")
 
 
 class _Memo(dict):
@@ -222,49 +225,27 @@ def glyph_fixes(word: str, edits: int = 1) -> set[str]:
     return found
 
 
-class Vectors:
-    """Skip-gram vectors of the most frequent words."""
-
-    def __init__(self, words: list[str], pairs: np.ndarray, width: int = 24, shift: float = 1.0) -> None:
-        self.index = {w: i for i, w in enumerate(words)}
-        total = max(1.0, float(pairs.sum()))
-        margin = np.maximum(pairs.sum(axis=1), 1.0)
-        with np.errstate(divide="ignore"):
-            pmi = np.log(np.maximum(pairs * total, 1e-9)) - np.log(margin)[:, None] - np.log(margin)[None, :]
-        pmi = np.where(pairs > 0, np.maximum(pmi - np.log(shift), 0), 0)
-        basis = np.random.default_rng(0).standard_normal((len(words), min(width, max(1, len(words)))))
-        for _ in range(4):
-            basis, _ = np.linalg.qr(pmi @ basis)
-        vectors = pmi @ basis
-        self.vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]).astype(np.float32)
-
-    def fit(self, word: str, context: list[str]) -> float:
-        """Mean similarity of a word to its context; 0 where either is unknown."""
-        at, near = self.index.get(word), [self.index[c] for c in context if c in self.index]
-        if at is None or not near:
-            return 0.0
-        return float((self.vectors[near] @ self.vectors[at]).mean())
-
-
-_NOTED = "kind string, page_id long, doc_id string, word string, context array<string>, key string, line_no int, blob binary"
+_NOTED = "kind string, page_id long, doc_id string, word string, nth int, near array<int>, key string, line_no int, blob binary"
+_NOTED_COLUMNS = [c.split()[0] for c in _NOTED.split(", ")]
 _WINDOW = 2
 
 
-def _note_pass(scanned: DataFrame, metadata: DataFrame, frequent: dict[str, int], top: int) -> DataFrame:
-    """Rare words with contexts, broken words, edge lines of each page; pair counts of each task."""
-    vocabulary = sorted(frequent, key=lambda w: (-frequent[w], w))[:top]
-    # the most frequent words first, so a word's number tells whether it has a vector
-    rest = sorted(frequent.keys() - set(vocabulary))
-    shared = scanned.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate([*vocabulary, *rest])}, len(vocabulary)))
+def _note_pass(scanned: DataFrame, metadata: DataFrame, known: dict[str, int], contexts: int) -> DataFrame:
+    """Rare words with the frequent words near them, broken words, edge lines of each page; pair counts of each task.
+
+    Words are numbered by frequency, so the first ``contexts`` numbers are the
+    context words.  Pair counts leave a task as one row per block of words.
+    """
+    order = sorted(known, key=lambda w: (-known[w], w))
+    shared = scanned.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(order)})
     owners = metadata.where("doc_id is not null").groupBy("doc_id").agg(F.max("publisher").alias("publisher"))
     rows = scanned.join(owners, "doc_id", "left").select("page_id", "doc_id", "content", "publisher")
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, size = shared.value
-        number = known.get
-        pairs = np.zeros(size * size, dtype=np.int64)
+        number = shared.value.get
+        codes, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for frame in frames:
-            out, codes = [], []
+            out, new = [], []
             for page, doc, text, publisher in frame.itertuples(index=False):
                 names = {skeleton(w) for w in re.findall(r"[^\W_]+", publisher)} if isinstance(publisher, str) else set()
                 lines = text.split("\n")
@@ -274,42 +255,68 @@ def _note_pass(scanned: DataFrame, metadata: DataFrame, frequent: dict[str, int]
                     if role != "text":
                         running[i] = ""
                     if role in ("folio", "named", "chapter"):
-                        out.append((role, page, doc, None, None, key, i, None))
+                        out.append((role, page, doc, None, None, None, key, i, None))
                 body = "\n".join(line for line, whole in zip(running, lines) if line or not whole.strip())
                 for m in _BROKEN.finditer(body):
-                    if _is_inside(m) and _is_broken(m.group(1), *_around(m), known):
-                        out.append(("hyphen", page, doc, None, None, None, None, None))
+                    if _is_inside(m) and _is_broken(m.group(1), *_around(m), shared.value):
+                        out.append(("hyphen", page, doc, None, None, None, None, None, None))
                         break
                 else:
                     last = _ENDS_BROKEN.search(body.rstrip())
-                    if last and last.group(1).lower() not in known:
-                        out.append(("hyphen", page, doc, None, None, None, None, None))
+                    if last and last.group(1).lower() not in shared.value:
+                        out.append(("hyphen", page, doc, None, None, None, None, None, None))
                 words = tokens(body)
                 ids = np.array([number(w, -1) for w in words], dtype=np.int64)
-                top = np.where(ids < size, ids, -1)
+                is_context = (ids >= 0) & (ids < contexts)
                 for gap in range(1, _WINDOW + 1):
-                    a, b = top[:-gap], top[gap:]
-                    both = (a >= 0) & (b >= 0)
-                    codes.append(a[both] * size + b[both])
+                    for word, context, near in ((ids[:-gap], ids[gap:], is_context[gap:]), (ids[gap:], ids[:-gap], is_context[:-gap])):
+                        both = (word >= 0) & near
+                        new.append(word[both] * contexts + context[both])
+                seen: Counter[str] = Counter()
                 for i in np.flatnonzero(ids < 0).tolist():
                     w = words[i]
-                    if len(w) > 2 and w.upper() != w:
-                        around = range(max(0, i - 3), min(len(words), i + 4))
-                        near = [words[k] for k in around if k != i and 0 <= top[k]]
-                        out.append(("rare", page, doc, w, near, None, None, None))
-            if codes and size:
-                pairs += np.bincount(np.concatenate(codes), minlength=size * size)
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _NOTED.split(", ")])
-        for part in range(8):
-            cut = pairs[part * len(pairs) // 8 : (part + 1) * len(pairs) // 8].astype(np.uint32)
-            blob = zlib.compress(cut.tobytes(), 1)
-            yield pd.DataFrame(
-                [("pairs", None, None, None, None, None, part, blob)], columns=[c.split()[0] for c in _NOTED.split(", ")]
-            )
+                    if w.upper() != w:
+                        near = [int(ids[k]) for k in range(max(0, i - _WINDOW), min(len(words), i + _WINDOW + 1)) if is_context[k]]
+                        out.append(("rare", page, doc, w, seen[w], near, None, None, None))
+                        seen[w] += 1
+            if new:
+                codes, counts = _summed(np.concatenate([codes, *new]), np.concatenate([counts, np.ones(sum(map(len, new)), dtype=np.int64)]))
+            yield pd.DataFrame(out, columns=_NOTED_COLUMNS)
+            if len(codes) > 8_000_000:
+                yield _pair_rows(codes, counts, contexts)
+                codes, counts = codes[:0], counts[:0]
+        yield _pair_rows(codes, counts, contexts)
 
     return rows.mapInPandas(scan, _NOTED)
 
 
+def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, with their counts added."""
+    every, at = np.unique(codes, return_inverse=True)
+    return every, np.bincount(at, weights=counts, minlength=len(every)).astype(np.int64)
+
+
+def _packed(codes: np.ndarray, counts: np.ndarray) -> bytes:
+    return zlib.compress(codes.astype(np.uint32).tobytes() + counts.astype(np.uint64).tobytes(), 1)
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    body = zlib.decompress(blob)
+    n = len(body) // 12
+    return np.frombuffer(body, np.uint32, n).astype(np.int64), np.frombuffer(body[4 * n :], np.uint64).astype(np.int64)
+
+
+def _pair_rows(codes: np.ndarray, counts: np.ndarray, contexts: int) -> pd.DataFrame:
+    """One row per block of words; ``line_no`` is the block."""
+    blocks = codes // (contexts * skipgram.BLOCK)
+    out = []
+    for block in np.unique(blocks).tolist():
+        own = blocks == block
+        blob = _packed(codes[own] - block * contexts * skipgram.BLOCK, counts[own])
+        out.append(("pairs", None, None, None, None, None, None, block, blob))
+    return pd.DataFrame(out, columns=_NOTED_COLUMNS)
+
+
 def _is_broken(mark: str, left: str, right: str, known: dict[str, int]) -> bool:
     """Whether the mark between the parts of a word at a line end is not the word's own."""
     if mark in "\xad¬":
@@ -323,97 +330,202 @@ def _is_broken(mark: str, left: str, right: str, known: dict[str, int]) -> bool:
     return not (tail in known and head in known) and not head[:1].isdigit()
 
 
-def _vectors(noted: DataFrame, words: list[str]) -> Vectors:
-    """Sum the tasks' pair counts (a table of fixed size) and factorise."""
+def word_vectors(noted: DataFrame, known: dict[str, int], contexts: int) -> tuple[DataFrame, np.ndarray]:
+    """(``fix, vector`` of every frequent word, vectors of the context words).
+
+    A block's table (``BLOCK`` words by ``contexts``) is what one task holds; to
+    the driver come the first block and the column sums.
+    """
+    spark = noted.sparkSession
+    order = sorted(known, key=lambda w: (-known[w], w))
+    contexts = min(contexts, max(1, len(order)))
+    shape = (skipgram.BLOCK, contexts)
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = None
+        total = np.zeros(shape[0] * shape[1], dtype=np.int64)
         for blob in frame["blob"]:
-            part = np.frombuffer(zlib.decompress(blob), dtype=np.uint32).astype(np.int64)
-            total = part if total is None else total + part
-        return pd.DataFrame({"line_no": frame["line_no"].iloc[:1], "blob": [zlib.compress(total.tobytes(), 1)]})
+            codes, counts = _unpacked(blob)
+            np.add.at(total, codes, counts)
+        at = np.flatnonzero(total)
+        margin = total.reshape(shape).sum(axis=0)
+        return pd.DataFrame({"block": frame["line_no"].iloc[:1], "blob": [_packed(at, total[at])], "margin": [margin.tobytes()]})
+
+    blocks = checkpoint(
+        noted.where("kind = 'pairs'").select("line_no", "blob").groupBy("line_no").applyInPandas(add, "block int, blob binary, margin binary")
+    )
 
-    parts = noted.where("kind = 'pairs'").select("line_no", "blob").groupBy("line_no").applyInPandas(add, "line_no int, blob binary")
-    rows = sorted(parts.collect(), key=lambda r: r["line_no"])
-    n = len(words)
-    flat = np.concatenate([np.frombuffer(zlib.decompress(r["blob"]), dtype=np.int64) for r in rows]) if rows else np.zeros(n * n)
-    pairs = flat.reshape(n, n).astype(float)
-    return Vectors(words, pairs + pairs.T)
+    def table(blob: bytes) -> np.ndarray:
+        total = np.zeros(shape[0] * shape[1])
+        codes, counts = _unpacked(blob)
+        total[codes] = counts
+        return total.reshape(shape)
 
+    margin = sum((np.frombuffer(r[0], dtype=np.int64) for r in blocks.select("margin").collect()), np.zeros(contexts))
+    share = margin / max(1.0, margin.sum())
+    first = blocks.where("block = 0").select("blob").first()
+    context = skipgram.learn_contexts(table(first[0])[: len(order)] if first else np.zeros((1, contexts)))
+    shared = spark.sparkContext.broadcast((order, share, context))
 
-def _corrections(noted: DataFrame, counts: DataFrame, frequent: dict[str, int], vectors: Vectors) -> DataFrame:
-    """``word, fix`` of the misread words among the rare ones; ``fix`` null where none is known."""
-    spark = noted.sparkSession
-    shared = spark.sparkContext.broadcast((frequent, vectors))
-    rare = noted.where("kind = 'rare'")
-    # contexts of a rare word's first occurrences are enough to choose; all occurrences count
-    grouped = rare.groupBy("word").agg(F.min_by("context", F.struct("page_id", F.to_json("context"))).alias("context"))
-    known = grouped.join(counts, "word", "left").select("word", "context", F.coalesce("n", F.lit(1)).alias("n"))
-
-    def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, vec = shared.value
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, shares, learned = shared.value
         for frame in frames:
-            out = []
-            for word, context, n in frame.itertuples(index=False):
-                choices = [f for f in glyph_fixes(word) if f in words]
-                if not choices and len(word) > 4:
-                    choices = [f for f in glyph_fixes(word, 2) if f in words]
-                choices = [f for f in choices if words[f] >= 20 * n]
-                odd = bool(_ODD.search(word)) and any(c.isalpha() for c in word)
-                near = list(context) if context is not None else []
-                if choices:
-                    best = max(choices, key=lambda f: (np.log(words[f]) + 4 * vec.fit(f, near), f))
-                    out.append((word, n, best, True, odd))
-                else:
-                    out += [(word, n, f, False, odd) for f in sorted(glyph_fixes(word))] or [(word, n, None, False, odd)]
-            yield pd.DataFrame(out, columns=["word", "n", "fix", "sure", "odd"])
+            for block, blob in frame.itertuples(index=False):
+                own = words[block * shape[0] : (block + 1) * shape[0]]
+                vectors = skipgram.solve_words(table(blob)[: len(own)], shares, learned)
+                yield pd.DataFrame({"fix": own, "vector": list(vectors.astype(np.float32))})
 
-    linked = known.mapInPandas(link, "word string, n long, fix string, sure boolean, odd boolean")
-    # words that are not frequent, names above all, are held against the counts of all words
-    named = counts.select(F.col("word").alias("fix"), F.col("n").alias("of"))
-    asked = linked.where("not sure and fix is not null").join(named, "fix")
-    better = (
-        asked.where("of >= 3 * n and of >= 3 and n <= 3 or of >= 20 * n")
-        .groupBy("word")
-        .agg(F.max_by("fix", F.struct("of", "fix")).alias("fix"))
+    return blocks.select("block", "blob").mapInPandas(solve, "fix string, vector array<float>"), context
+
+
+#: A misreading of one form is expected at most in this share of a word's occurrences.
+_RATE = 0.05
+#: Context may outweigh a factor of e to this power in the counts.
+_CONTEXT = 2.0
+
+
+def expected_misreadings(n: np.ndarray | float) -> np.ndarray | float:
+    """The most misreadings of one kind that a word seen ``n`` times may have: the rate, and three deviations."""
+    return _RATE * n + 3 * np.sqrt(_RATE * n)
+
+
+def candidates(rare: DataFrame, counts: DataFrame, known: dict[str, int]) -> DataFrame:
+    """``word, n, fix, of``: what each rare word may be, with the counts of both.
+
+    Frequent words by one glyph edit, else by two; where there are none, any
+    counted word by one edit, or the commonest word of the same skeleton,
+    however many edits that is.
+    """
+    shared = rare.sparkSession.sparkContext.broadcast(known)
+    asked = rare.select("word").distinct().join(counts, "word")
+
+    def propose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = shared.value
+        for frame in frames:
+            out = []
+            for word, n in frame.itertuples(index=False):
+                fixes = sorted(glyph_fixes(word))
+                near = [f for f in fixes if f in words]
+                if not near and len(word) > 4:
+                    near = sorted(f for f in glyph_fixes(word, 2) if f in words)
+                near = [f for f in near if np.log(expected_misreadings(words[f]) / n) >= -_CONTEXT]
+                out += [(word, n, f, words[f], None) for f in near]
+                if not near:
+                    out += [(word, n, f, None, None) for f in fixes]
+                    out.append((word, n, None, None, skeleton(word)))
+            yield pd.DataFrame(out, columns=["word", "n", "fix", "of", "form"])
+
+    proposed = asked.mapInPandas(propose, "word string, n long, fix string, of long, form string")
+
+    def forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame = frame[[w.upper() != w for w in frame["word"]]]
+            yield pd.DataFrame({"form": [skeleton(w) for w in frame["word"]], "fix": frame["word"], "of": frame["n"]})
+
+    commonest = (
+        counts.mapInPandas(forms, "form string, fix string, of long")
+        .groupBy("form")
+        .agg(F.max_by(F.struct("fix", "of"), F.struct("of", "fix")).alias("best"))
+        .select("form", "best.fix", "best.of")
     )
-    odd = linked.where("not sure and odd").select("word").distinct().join(better, "word", "left_anti")
+    enough = F.col("n") <= _RATE * F.col("of") + 3 * F.sqrt(_RATE * F.col("of"))
+    named = counts.select(F.col("word").alias("fix"), F.col("n").alias("of"))
+    by_edit = proposed.where("of is null and fix is not null").select("word", "n", "fix").join(named, "fix").where(enough)
+    by_form = proposed.where("form is not null").select("word", "n", "form").join(commonest, "form").where(enough & (F.col("fix") != F.col("word")))
+    columns = ["word", "n", "fix", "of"]
     return (
-        linked.where("sure")
-        .select("word", "fix")
-        .unionByName(better)
-        .unionByName(odd.select("word", F.lit(None).cast("string").alias("fix")))
+        proposed.where("of is not null").select(columns).unionByName(by_edit.select(columns)).unionByName(by_form.select(columns)).distinct()
     )
 
 
-def _headers(noted: DataFrame, least_pages: int = 2, known_pages: int = 5) -> DataFrame:
-    """``page_id, line_no`` of running headers."""
+def corrections(noted: DataFrame, counts: DataFrame, known: dict[str, int], contexts: int, use_vectors: bool = True) -> DataFrame:
+    """``page_id, word, nth, fix`` of every misread occurrence, decided in its own context.
+
+    ``use_vectors`` off leaves the vectors out, which shows what they decide.
+    """
+    rare = noted.where("kind = 'rare'").select("page_id", "word", "nth", "near")
+    vectors, context = word_vectors(noted, known, contexts)
+    if not use_vectors:
+        vectors = vectors.where("false")
+    choices = (
+        candidates(rare, counts, known)
+        .join(vectors, "fix", "left")
+        .groupBy("word", "n")
+        .agg(F.collect_list(F.struct("fix", "of", "vector")).alias("choices"))
+    )
+    shared = noted.sparkSession.sparkContext.broadcast(context)
+
+    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        learned = shared.value
+        ready: dict[str, tuple] = {}
+        for frame in frames:
+            out = []
+            if len(ready) > 100_000:
+                ready.clear()
+            for page, word, nth, near, n, found in frame.itertuples(index=False):
+                if word not in ready:
+                    ready[word] = _scored(found, n)
+                fixes, scores, vectors, has = ready[word]
+                if has.any() and near is not None and len(near):
+                    around = learned[[k for k in near if k < len(learned)]]
+                    scores = scores + np.where(has, skipgram.context_evidence(vectors, around, _CONTEXT), 0)
+                best = int(scores.argmax())
+                if scores[best] >= 0:
+                    out.append((page, word, nth, fixes[best]))
+            yield pd.DataFrame(out, columns=["page_id", "word", "nth", "fix"])
+
+    met = rare.join(choices, "word").select("page_id", "word", "nth", "near", "n", "choices")
+    return met.mapInPandas(choose, "page_id long, word string, nth int, fix string")
+
+
+def _scored(found, n: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """A word's candidates in order, their count scores, vectors, and whether they have one."""
+    found = sorted(found, key=lambda c: (-c["of"], c["fix"]))
+    has = np.array([c["vector"] is not None for c in found])
+    width = max((len(c["vector"]) for c in found if c["vector"] is not None), default=1)
+    vectors = np.array([c["vector"] if c["vector"] is not None else np.zeros(width) for c in found], dtype=float)
+    scores = np.log(expected_misreadings(np.array([c["of"] for c in found], dtype=float)) / n)
+    return [c["fix"] for c in found], scores, vectors, has
+
+
+def _headers(noted: DataFrame, least_pages: int = 2, least_share: float = 0.25) -> DataFrame:
+    """``page_id, line_no`` of running headers.
+
+    A chapter line is one if its report repeats it, or if a good share of the
+    lines like it stand in reports that repeat them: then it is a header that
+    this report has once.
+    """
     lines = noted.where("kind in ('named', 'chapter')").select("kind", "page_id", "doc_id", "key", "line_no")
     in_report = lines.where("kind = 'chapter'").groupBy("doc_id", "key").agg(F.countDistinct("page_id").alias("pages"))
-    anywhere = lines.where("kind = 'chapter'").groupBy("key").agg(F.countDistinct("page_id").alias("everywhere"))
+    repeated = F.col("pages") >= least_pages
+    anywhere = in_report.groupBy("key").agg((F.sum(F.when(repeated, F.col("pages")).otherwise(0)) / F.sum("pages")).alias("share"))
     chapters = (
-        lines.where("kind = 'chapter'")
-        .join(in_report, ["doc_id", "key"])
-        .join(anywhere, "key")
-        .where((F.col("pages") >= least_pages) | (F.col("everywhere") >= known_pages))
+        lines.where("kind = 'chapter'").join(in_report, ["doc_id", "key"]).join(anywhere, "key").where(repeated | (F.col("share") >= least_share))
     )
     columns = ["page_id", "doc_id", "line_no"]
     all_lines = lines.where("kind = 'named'").select(columns).unionByName(chapters.select(columns))
-    reports = all_lines.groupBy("doc_id").agg(F.countDistinct("page_id").alias("pages")).where(F.col("pages") >= least_pages)
+    reports = all_lines.groupBy("doc_id").agg(F.countDistinct("page_id").alias("pages")).where(repeated)
     return all_lines.join(reports.select("doc_id"), "doc_id", "left_semi").select("page_id", "line_no").distinct()
 
 
-def study_scans(pages: DataFrame, metadata: DataFrame, top: int = 1_024) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(noted rows, ``word, fix``, ``page_id, line_no`` of headers) of all scanned pages."""
+@dataclass(frozen=True)
+class ScanStudy:
+    """What all scanned pages tell: noted rows, corrections, headers, and the frequent words with their counts."""
+
+    noted: DataFrame
+    fixes: DataFrame
+    headers: DataFrame
+    known: dict[str, int]
+
+
+def study_scans(pages: DataFrame, metadata: DataFrame, contexts: int = 512, use_vectors: bool = True) -> ScanStudy:
+    """Everything about the scanned pages that no single page tells."""
     scanned = scanned_pages(pages)
     counts = checkpoint(word_counts(scanned))
     frequent = frequent_words(counts)
-    bad = {w for w in frequent if _misread(w, frequent)}
-    good = {w: n for w, n in frequent.items() if w not in bad}
-    noted = checkpoint(_note_pass(scanned, metadata, good, top))
-    vocabulary = sorted(good, key=lambda w: (-good[w], w))[:top]
-    fixes = checkpoint(_corrections(noted, counts, good, _vectors(noted, vocabulary)))
-    return noted, fixes, _headers(noted)
+    known = {w: n for w, n in frequent.items() if not _misread(w, frequent)}
+    noted = checkpoint(_note_pass(scanned, metadata, known, min(contexts, max(1, len(known)))))
+    fixes = checkpoint(corrections(noted, counts, known, contexts, use_vectors))
+    return ScanStudy(noted, fixes, _headers(noted), known)
 
 
 def _misread(word: str, frequent: dict[str, int]) -> bool:
@@ -421,13 +533,13 @@ def _misread(word: str, frequent: dict[str, int]) -> bool:
     return len(word) > 2 and not word.isdecimal() and any(frequent.get(f, 0) >= 20 * frequent[word] for f in glyph_fixes(word))
 
 
-def scan_noise(noted: DataFrame, fixes: DataFrame, headers: DataFrame) -> DataFrame:
+def scan_noise(study: ScanStudy) -> DataFrame:
     """``page_id, noise`` of every page and kind."""
-    chars = noted.where("kind = 'rare'").select("page_id", "word").join(fixes, "word", "left_semi")
+    noted = study.noted
     parts = [
         noted.where("kind = 'hyphen'").select("page_id", F.lit("hyphen").alias("noise")),
-        chars.select("page_id", F.lit("chars").alias("noise")),
-        headers.select("page_id", F.lit("header").alias("noise")),
+        study.fixes.select("page_id", F.lit("chars").alias("noise")),
+        study.headers.select("page_id", F.lit("header").alias("noise")),
         noted.where("kind = 'folio'").select("page_id", F.lit("folio").alias("noise")),
     ]
     out = parts[0]
@@ -436,9 +548,7 @@ def scan_noise(noted: DataFrame, fixes: DataFrame, headers: DataFrame) -> DataFr
     return out.distinct()
 
 
-def repair_scans(
-    pages: DataFrame, noted: DataFrame, fixes: DataFrame, headers: DataFrame, metadata: DataFrame | None = None
-) -> DataFrame:
+def repair_scans(pages: DataFrame, study: ScanStudy, metadata: DataFrame | None = None) -> DataFrame:
     """``page_id, content``: scanned pages without furniture, mended and reflowed.
 
     A paragraph that runs over a page end stands whole on the page where it
@@ -448,18 +558,17 @@ def repair_scans(
     two rows claim one page number.
     """
     furniture = (
-        noted.where("kind = 'folio'").select("page_id", "line_no").unionByName(headers).groupBy("page_id").agg(
+        study.noted.where("kind = 'folio'").select("page_id", "line_no").unionByName(study.headers).groupBy("page_id").agg(
             F.collect_set("line_no").alias("gone")
         )
     )
     wrong = (
-        noted.where("kind = 'rare'")
-        .select("page_id", "word")
-        .distinct()
-        .join(fixes.where("fix is not null"), "word")
+        study.fixes.groupBy("page_id", "word")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "fix"))), lambda c: c["fix"]).alias("fix"))
         .groupBy("page_id")
         .agg(F.map_from_entries(F.collect_list(F.struct("word", "fix"))).alias("fixes"))
     )
+    shared = pages.sparkSession.sparkContext.broadcast(study.known)
     rows = scanned_pages(pages).join(furniture, "page_id", "left").join(wrong, "page_id", "left")
     if metadata is None:
         rows = rows.withColumn("publisher", F.lit(None).cast("string"))
@@ -498,7 +607,7 @@ def repair_scans(
                 # a line that fills a page is text; notices come once or twice
                 if _line_role(lines[i], names)[0] == "notice" or (key and seen[key] > 1 and on_page[key] <= 2):
                     notices.add(i)
-            fix = dict(row.fixes) if row.fixes is not None else {}
+            correct = _corrector(dict(row.fixes) if row.fixes is not None else {})
             blocks: list[tuple[str, bool]] = []
             for notice, part in itertools.groupby(range(len(lines)), lambda i: i in notices):
                 if notice:
@@ -506,12 +615,10 @@ def repair_scans(
                 else:
                     texts = ["\n".join(lines[i] for i in part)]
                 for text in texts:
-                    body = _BROKEN.sub(lambda m: _own(m) if _is_inside(m) else m.group(), text)
-                    for wrong_word, right in fix.items():
-                        body = re.sub(re.escape(wrong_word), lambda m, r=right: _cased(m.group(), r), body, flags=re.IGNORECASE)
+                    body = correct(_BROKEN.sub(lambda m: _joint(m, shared.value), text))
                     blocks += [(t, notice) for t in (" ".join(b.split()) for b in re.split(r"\n\s*\n", body)) if t]
             mended.append(blocks)
-        _join_pages(frame["page_number"].tolist(), mended)
+        _join_pages(frame["page_number"].tolist(), mended, shared.value)
         out = [(page, "\n\n".join(t for t, _ in blocks)) for page, blocks in zip(frame["page_id"], mended) if blocks is not None]
         return pd.DataFrame(out, columns=["page_id", "content"])
 
@@ -530,7 +637,7 @@ def _edge_key(line: str) -> str:
 _CLOSED = re.compile(r"[.!?:…][\W_]*$")
 
 
-def _join_pages(numbers: list[int | None], pages: list[list[tuple[str, bool]] | None]) -> None:
+def _join_pages(numbers: list[int | None], pages: list[list[tuple[str, bool]] | None], known: dict[str, int]) -> None:
     """Moves what continues a paragraph of an earlier page to its end; blocks are (text, whether a notice)."""
     claims = Counter(n for n in numbers if not pd.isna(n))
     order = sorted((i for i, n in enumerate(numbers) if not pd.isna(n)), key=lambda i: numbers[i])
@@ -545,7 +652,7 @@ def _join_pages(numbers: list[int | None], pages: list[list[tuple[str, bool]] |
             continue
         if open_at is not None:
             at, k = open_at
-            joined = _continued(pages[at][k][0], blocks[prose[0]][0])
+            joined = _continued(pages[at][k][0], blocks[prose[0]][0], known)
             if joined is not None:
                 pages[at][k] = (joined, False)
                 del blocks[prose[0]]
@@ -555,11 +662,11 @@ def _join_pages(numbers: list[int | None], pages: list[list[tuple[str, bool]] |
         open_at = (i, prose[-1])
 
 
-def _continued(tail: str, head: str) -> str | None:
+def _continued(tail: str, head: str, known: dict[str, int]) -> str | None:
     """The two parts of one paragraph as one; None where the second does not continue the first."""
     broken = _ENDS_BROKEN.search(tail)
     if broken and head[:1].isalpha():
-        return _BROKEN.sub(lambda m: _own(m) if _is_inside(m) else m.group(), f"{tail}\n{head}")
+        return _BROKEN.sub(lambda m: _joint(m, known), f"{tail}\n{head}")
     if _CLOSED.search(tail) or not tail or "|" in tail or "|" in head or not head[:1].isalnum():
         return None
     # a small letter goes on; a name, a noun or a number does so behind running text only
@@ -568,13 +675,31 @@ def _continued(tail: str, head: str) -> str | None:
     return None
 
 
-#: First parts after which a hyphen at a line end is the word's own.
-_OWN = ("long", "year", "over", "risk", "cross", "cet1", "socio", "sous", "bem", "théorico", "teórico", "teorico")
+def _joint(m: re.Match, known: dict[str, int]) -> str:
+    """What stands between the parts of a word at a line end: nothing, or a mark of its own."""
+    if not _is_inside(m):
+        return m.group()
+    return "" if _is_broken(m.group(1), *_around(m), known) else m.group(1)
+
+
+def _corrector(fixes: dict[str, list[str]]):
+    """A function that corrects a page's whole words in order of occurrence, in one pass over a text."""
+    if not fixes:
+        return lambda text: text
+    found: Counter[str] = Counter()
+    words = "|".join(re.escape(w) for w in sorted(fixes, key=lambda w: (-len(w), w)))
+    # a misread character beside a letter belongs to the word
+    pattern = re.compile(rf"(?<![^\W_])(?<![^\W_][!|(†€])(?:{words})(?![^\W_]|[!|(†€][^\W_])", re.IGNORECASE)
 
+    def right(m: re.Match) -> str:
+        word = m.group().lower()
+        if word not in fixes:
+            return m.group()
+        choices = fixes[word]
+        found[word] += 1
+        return _cased(m.group(), choices[min(found[word], len(choices)) - 1])
 
-def _own(m: re.Match) -> str:
-    own = m.group(1) in "-‐" and re.split("[-‐]", _around(m)[0].lower())[-1] in _OWN
-    return m.group(1) if own else ""
+    return lambda text: pattern.sub(right, text)
 
 
 def _cased(seen: str, right: str) -> str:

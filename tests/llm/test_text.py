@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from folioscope.llm import hashing, language, neardup, queries, scans, truncation
+from folioscope.llm import hashing, language, neardup, queries, scans, skipgram, truncation
 from folioscope.llm.words import words
 
 
@@ -159,12 +159,12 @@ def test_scan_noise(spark):
     rows += [(60, "e", 0, noisy, "success", {"parser": "stream"}), (61, "d", 61, None, "failed", {"parser": "layout"}), (62, "d", 62, noisy, "success", None), rows[20]]
     pages = spark.createDataFrame(rows, "page_id long, doc_id string, page_number int, content string, status string, metadata map<string,string>")
     meta = spark.createDataFrame([("d", "Acme Group"), ("d", "Acme Group"), ("e", None)], "doc_id string, publisher string")
-    study = scans.study_scans(pages, meta, top=64)
-    got = {tuple(r) for r in scans.scan_noise(*study).collect()}
+    study = scans.study_scans(pages, meta, contexts=64)
+    got = {tuple(r) for r in scans.scan_noise(study).collect()}
     assert got == {(50, "hyphen"), (50, "chars"), (50, "header"), (50, "folio"), (51, "header")}
-    mended = {r.page_id: r.content for r in scans.repair_scans(pages, *study).collect()}
+    mended = {r.page_id: r.content for r in scans.repair_scans(pages, study).collect()}
     assert "dividend proposal was long-term" in mended[50] and "12" not in mended[50] and "\n" not in mended[50]
-    assert scans.scan_noise(*scans.study_scans(pages.limit(0), meta)).count() == 0
+    assert scans.scan_noise(scans.study_scans(pages.limit(0), meta)).count() == 0
 
 
 def test_paragraphs_over_page_ends(spark):
@@ -176,7 +176,7 @@ def test_paragraphs_over_page_ends(spark):
     rows = [(i, "d", i, t, "success" if t else "failed", {"parser": "layout"}) for i, t in texts.items()]
     pages = spark.createDataFrame([*rows, rows[0]], "page_id long, doc_id string, page_number int, content string, status string, metadata map<string,string>")
     meta = spark.createDataFrame([("d", "Acme Group")], "doc_id string, publisher string")
-    got = {r.page_id: r.content for r in scans.repair_scans(pages, *scans.study_scans(pages, meta, top=8), meta).collect()}
+    got = {r.page_id: r.content for r in scans.repair_scans(pages, scans.study_scans(pages, meta, contexts=8), meta).collect()}
     assert got == {
         0: f"Whole.\n\nThe dividend proposal of the bank was restated in the year and grew once again in the region.\n\n{notice}",
         1: notice, 2: "The loan book fell", 4: "in a failed neighbour.\n\nOutlook", 5: "New things began here.",
@@ -240,3 +240,41 @@ def test_whole_forms_do_not_depend_on_size(spark):
 
     # inside 15 of 21 times, against inside 5 of 21 times
     assert whole(1) == whole(20) == {"Net result"}
+
+
+def test_vectors_choose_the_correction_in_its_context(spark):
+    # one misreading stands for two words; the counts prefer "plano", the context of the second page tells "piano"
+    a, b = "the bank sold its plano debt today again and so the bank sold its plano debt today again.", "le mani sul piano forte del maestro vecchio e le mani sul piano forte del maestro."
+    rows = [(i, "d", i, " ".join([a] * 6 if i % 5 else [b] * 6), "success", {"parser": "layout"}) for i in range(60)]
+    rows += [(100, "d", 100, "the bank sold its p!ano debt today again.\nle mani sul p!ano forte del maestro.", "success", {"parser": "layout"})]
+    pages = spark.createDataFrame(rows, "page_id long, doc_id string, page_number int, content string, status string, metadata map<string,string>")
+    meta = spark.createDataFrame([("d", None)], "doc_id string, publisher string")
+    fixes = lambda use: {(r.nth, r.fix) for r in scans.study_scans(pages, meta, use_vectors=use).fixes.where("page_id = 100").collect()}
+    assert fixes(True) == {(0, "plano"), (1, "piano")}
+    assert fixes(False) == {(0, "plano"), (1, "plano")}
+    study = scans.study_scans(pages, meta)
+    mended = {r.page_id: r.content for r in scans.repair_scans(pages, study).collect()}
+    assert mended[100] == "the bank sold its plano debt today again. le mani sul piano forte del maestro."
+
+
+def test_corrections_replace_whole_words_only():
+    correct = scans._corrector({"ccnt": ["cent"], "p!ari": ["plan"], "of": ["off", "of"]})
+    assert correct("Ccnt ccntre p!ari p!arined of, OF of") == "Cent ccntre plan p!arined off, OF of"
+    known = {"long", "term", "long-term", "plus-value", "propo", "restated"}
+    assert scans._joint(scans._BROKEN.search("a long-\nterm loan"), known) == "-"
+    assert scans._joint(scans._BROKEN.search("was re-\nstated"), known) == ""
+    assert scans._joint(scans._BROKEN.search("la plus-\nvalue"), known) == "-"
+
+
+def test_skipgram_vectors_estimate_mutual_information():
+    rng = np.random.default_rng(3)
+    topics = np.repeat([0, 1], 8)
+    counts = rng.poisson(np.where(topics[:, None] == topics[None, :], 60, 3)).astype(float)
+    context = skipgram.learn_contexts(counts, width=4)
+    share = counts.sum(axis=0) / counts.sum()
+    vectors = skipgram.solve_words(counts, share, context)
+    told = vectors @ context.T
+    want = np.log(counts * counts.sum() / np.outer(counts.sum(axis=1), counts.sum(axis=0)) + 1e-3)
+    assert np.corrcoef(told.ravel(), want.ravel())[0, 1] > 0.9
+    assert (skipgram.context_evidence(vectors[[0, 15]], context[:4]) > 0).tolist() == [True, False]
+    assert skipgram.solve_words(np.zeros((2, 16)), share, context).shape == (2, 4)
