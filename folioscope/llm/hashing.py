@@ -16,7 +16,7 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 
 @functools.cache
 def _word_table() -> np.ndarray:
-    return np.fromiter((chr(k).isalnum() for k in range(0x110000)), dtype=bool, count=0x110000)
+    return np.char.isalnum(np.arange(0x110000, dtype=np.uint32).view("U1"))
 
 
 @functools.cache
@@ -35,8 +35,25 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word of all texts in order, number of words of each text)."""
+def word_hashes(texts: list[str], together: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word of all texts in order, number of words of each text).
+
+    Texts of about ``together`` characters are hashed at once, so that the
+    arrays stay in the processor's cache.
+    """
+    hashes, counts = [], []
+    begin = held = 0
+    for k, text in enumerate(texts):
+        held += len(text)
+        if held > together or k == len(texts) - 1:
+            some, n = _hash_together(texts[begin : k + 1])
+            hashes.append(some)
+            counts.append(n)
+            begin, held = k + 1, 0
+    return (np.concatenate(hashes), np.concatenate(counts)) if hashes else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+
+
+def _hash_together(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     low = [t.lower() for t in texts]
     sizes = np.fromiter(map(len, low), dtype=np.int64, count=len(low)) + 1
     points = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)

@@ -1,23 +1,27 @@
 """Near copies among a collection too large for pairwise comparison.
 
-A T-occurrence search over an inverted index of word shingles, after DivideSkip:
-for every text the required overlap T splits its shingles into the rarest ones,
-whose short lists are merged, and the rest, whose long lists are only probed by
-binary search for the texts that the merge brought up.
-
-It departs from DivideSkip in this: one shared short list makes a pair come up,
-by ranges of text size instead of a heap merge with overlap counts; long lists
-are never built, the probe is of the partner's whole shingle set.
+A T-occurrence search over an inverted index of word shingles, after
+DivideSkip.  For every text the overlap T that any partner needs divides its
+shingles: the T - S most frequent ones have long lists, which are set aside;
+the lists of the rest are short and are merged, and a pair must occur in at
+least S of them (S is ``short_lists``; in T where T is smaller).  Pairs that
+come out of the merge are probed by binary search for the shingles set aside
+and kept where the overlap reaches T.
+
+The collection is joined with itself and its index lies in shards, which shapes
+two steps.  A shard counts the occurrences of a pair in its own lists, and the
+shards' counts are added before they are held against S.  Long lists are not
+built: a text stands in the list of a shingle if and only if the shingle stands
+in the sorted set of the text, so the probes go there.
 
 1. One pass counts all shingles in a sketch of fixed size (its order decides
    which lists are short; any order gives the same result) and keys each text
    by its words, so copies are one text from here on.
-2. One pass sends the rarest shingles of each text to the shards of the index.
-   A shard holds a bounded number of entries; a list longer than ``long_list``
-   is cut into blocks that meet pairwise.  A shard merges its lists, and a
-   bitmap of each text's shingles rejects pairs that cannot reach T.
-3. The shingle sets of the texts that came up are read again and probed by
-   binary search; pairs reaching T are kept.
+2. One pass sends the entries of each text's short lists to the shards of the
+   index.  A shard holds a bounded number of entries; a list longer than
+   ``long_list`` is cut into blocks that meet pairwise.  A shard merges its
+   lists; a bitmap of each text's shingles rejects pairs that cannot reach T.
+3. The shingle sets of the texts that came up are read again and probed.
 
 Defined results: null contents and those with fewer than ``k`` words have no
 partners; repeated rows count once; a chunk id with two contents is compared
@@ -46,16 +50,46 @@ _WIDTHS = ((2, 58), (4, 116), (8, 232), (16, 464), (32, 1 << 40))
 
 def _batches(frames: Iterator[pd.DataFrame], k: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, words per row, shingles, shingles per row) with the word hashes of each batch."""
-    for frame in frames:
-        words, counts = word_hashes(frame["content"].tolist())
-        grams, runs = shingle_hashes(words, counts, k)
-        yield frame, words, counts, grams, runs
+    for whole in frames:
+        # a text's number within a batch has 16 bits
+        for at in range(0, len(whole), 1 << 15):
+            frame = whole.iloc[at : at + (1 << 15)]
+            words, counts = word_hashes(frame["content"].tolist())
+            grams, runs = shingle_hashes(words, counts, k)
+            yield frame, words, counts, grams, runs
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers by byte planes, which compress to little where most are small."""
+    return zstandard.compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes(), 1) if len(values) else b""
+
+
+def _unpack_numbers(blob: bytes, dtype) -> np.ndarray:
+    if not blob:
+        return np.zeros(0, dtype=dtype)
+    planes = np.frombuffer(zstandard.decompress(blob), dtype=np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
+
+
+def _sorted_distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+def _added(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, with their counts added."""
+    if not len(codes):
+        return codes, counts
+    order = np.argsort(codes)
+    codes = codes[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[first], np.add.reduceat(counts[order], first)
 
 
 def _distinct(grams: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 48-bit shingles of each text, and their number."""
     owner = np.repeat(np.arange(len(runs), dtype=np.uint64), runs)
-    keys = np.unique((owner << np.uint64(48)) | (grams >> np.uint64(16)))
+    keys = _sorted_distinct((owner << np.uint64(48)) | (grams >> np.uint64(16)))
     return keys & np.uint64((1 << 48) - 1), np.bincount((keys >> np.uint64(48)).astype(np.int64), minlength=len(runs))
 
 
@@ -65,9 +99,10 @@ def _needed(total: np.ndarray, t: Fraction) -> np.ndarray:
     return -(-(num * total) // den)
 
 
-def _prefix(n: np.ndarray, t: Fraction) -> np.ndarray:
-    """Short lists of a text of n shingles: enough that a partner of any size shares one."""
-    return np.where(n > 0, n - -(-(t.numerator * n) // t.denominator) + 1, 0)
+def _short(n: np.ndarray, t: Fraction, short_lists: int) -> np.ndarray:
+    """How many of a text's n lists are short: all but T - S, for the least T that a partner of any size needs."""
+    least = -(-(t.numerator * n) // t.denominator)
+    return np.minimum(n, n - least + short_lists)
 
 
 def _widths(n: np.ndarray) -> np.ndarray:
@@ -91,30 +126,30 @@ def _bitmaps(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, lanes
 
 
-_COUNTED = "chunk_id string, k1 long, k2 long, part int, counts binary"
+_COUNTED = "chunk_id string, content_key long, k1 long, k2 long, part int, counts binary"
 
 
 def _count_pass(chunks: DataFrame, k: int, bits: int) -> DataFrame:
     """Members (``part`` null) and the parts of each task's sketch."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sketch = np.zeros(1 << bits, dtype=np.uint32)
+        sketch = np.zeros(1 << bits, dtype=np.int64)
         for frame, words, counts, grams, runs in _batches(frames, k):
-            sketch += np.bincount((grams >> np.uint64(16)) & np.uint64((1 << bits) - 1), minlength=1 << bits).astype(np.uint32)
+            sketch += np.bincount((grams >> np.uint64(16)) & np.uint64((1 << bits) - 1), minlength=1 << bits)
             k1, k2 = text_keys(words, counts)
             keep = runs > 0
             yield pd.DataFrame(
                 {
                     "chunk_id": frame["chunk_id"].to_numpy()[keep],
+                    "content_key": frame["content_key"].to_numpy()[keep],
                     "k1": k1[keep].view(np.int64),
                     "k2": k2[keep].view(np.int64),
                     "part": pd.array([None] * int(keep.sum()), dtype="Int32"),
                     "counts": None,
                 }
             )
-        small = np.minimum(sketch, 0xFFFF).astype(np.uint16).reshape(_PARTS, -1)
-        packed = [zstandard.compress(p.tobytes(), 1) for p in small]
-        yield pd.DataFrame({"chunk_id": None, "k1": 0, "k2": 0, "part": range(_PARTS), "counts": packed})
+        packed = [_pack(p) for p in sketch.reshape(_PARTS, -1)]
+        yield pd.DataFrame({"chunk_id": None, "content_key": 0, "k1": 0, "k2": 0, "part": range(_PARTS), "counts": packed})
 
     return chunks.mapInPandas(scan, _COUNTED)
 
@@ -123,24 +158,28 @@ def _sketch(counted: DataFrame, bits: int) -> np.ndarray:
     """The sum of all tasks' sketches: 2**bits counters, whatever the size of the collection."""
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << bits) // _PARTS, dtype=np.uint32)
+        total = np.zeros((1 << bits) // _PARTS, dtype=np.int64)
         for blob in frame["counts"]:
-            total += np.frombuffer(zstandard.decompress(blob), dtype=np.uint16)
-        packed = zstandard.compress(np.minimum(total, 0xFFFF).astype(np.uint16).tobytes(), 1)
-        return pd.DataFrame({"part": frame["part"].iloc[:1], "counts": [packed]})
+            total += _unpack_numbers(blob, np.int64)
+        return pd.DataFrame({"part": frame["part"].iloc[:1], "counts": [_pack(total)]})
 
     parts = counted.where("part is not null").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
-    out = np.zeros((_PARTS, (1 << bits) // _PARTS), dtype=np.uint16)
+    out = np.zeros((_PARTS, (1 << bits) // _PARTS), dtype=np.int64)
     for row in parts:
-        out[row["part"]] = np.frombuffer(zstandard.decompress(row["counts"]), dtype=np.uint16)
+        out[row["part"]] = _unpack_numbers(row["counts"], np.int64)
     return out.reshape(-1)
 
 
+def _frequency_order(often: np.ndarray) -> np.ndarray:
+    """16 bits that grow with a count of any size: its leading binary digits as a float."""
+    return (often.astype(np.float32).view(np.uint32) >> np.uint32(16)).astype(np.uint64)
+
+
 def _starts(n: np.ndarray) -> np.ndarray:
     return np.cumsum(n) - n
 
 
-def _post_pass(chunks: DataFrame, k: int, t: Fraction, shared, shards: int, long_list: int) -> DataFrame:
+def _post_pass(chunks: DataFrame, k: int, t: Fraction, short_lists: int, shared, shards: int, long_list: int) -> DataFrame:
     """``shard, blob``: the short lists' entries of a batch with the texts they name."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,16 +205,13 @@ def _post_pass(chunks: DataFrame, k: int, t: Fraction, shared, shards: int, long
             maps, lanes = _bitmaps(grams, n)
             map_at = _starts(lanes)
             often = sketch[grams & mask]
-            order = np.argsort(
-                (owner.astype(np.uint64) << np.uint64(48))
-                | (often.astype(np.uint64) << np.uint64(32))
-                | (grams & np.uint64(0xFFFFFFFF)),
-            )
+            # rarest first within each text; shingles come sorted, so a stable sort leaves ties in their order
+            order = np.argsort((owner.astype(np.uint64) << np.uint64(16)) | _frequency_order(often), kind="stable")
             rank = np.arange(len(order)) - np.repeat(_starts(n), n)
             # a shingle that the sketch has seen once is in no other text
-            short = (rank < np.repeat(_prefix(n, t), n)) & (often[order] > 1)
+            short = (rank < np.repeat(_short(n, t, short_lists), n)) & (often[order] > 1)
             rank, short = rank[short], order[short]
-            who, gram, count = owner[short], grams[short], often[short].astype(np.int64)
+            who, gram, count = owner[short], grams[short], often[short]
             blocks = count // long_list + 1
             single = blocks == 1
             where, text, ranks = [mix(gram[single])], [who[single]], [rank[single]]
@@ -201,19 +237,17 @@ def _post_pass(chunks: DataFrame, k: int, t: Fraction, shared, shards: int, long
                 mark[text[lo:hi]] = True
                 used = np.flatnonzero(mark)
                 local = (np.cumsum(mark) - 1)[text[lo:hi]]
-                entries = b"".join(
-                    (
-                        np.diff(names[lo:hi], prepend=np.uint32(0)).astype(np.uint32).tobytes(),
-                        local.astype(np.uint16).tobytes(),
-                        np.minimum(ranks[lo:hi], 0xFFFF).astype(np.uint16).tobytes(),
-                    )
-                )
-                packed = zstandard.compress(entries, 1)
                 pick = np.repeat(map_at[used], lanes[used]) + _within(lanes[used])
-                head = np.array([len(used), hi - lo, len(packed)], dtype=np.int64)
                 ids.append(int(shard[lo]))
                 blobs.append(
-                    b"".join((head.tobytes(), packed, k1[used].tobytes(), n[used].astype(np.uint32).tobytes(), maps[pick].tobytes()))
+                    _framed(
+                        _pack(np.diff(names[lo:hi], prepend=np.uint32(0)).astype(np.uint32)),
+                        _pack(local.astype(np.uint32)),
+                        _pack(ranks[lo:hi].astype(np.uint32)),
+                        _pack(n[used].astype(np.uint32)),
+                        k1[used].tobytes(),
+                        maps[pick].tobytes(),
+                    )
                 )
             yield pd.DataFrame({"shard": ids, "blob": blobs})
 
@@ -225,27 +259,36 @@ def _within(sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) - np.repeat(_starts(sizes), sizes)
 
 
+def _framed(*parts: bytes) -> bytes:
+    return b"".join((np.array([len(p) for p in parts], dtype=np.int64).tobytes(), *parts))
+
+
 def _unpack(blob: bytes):
-    texts, entries, packed = np.frombuffer(blob, dtype=np.int64, count=3).tolist()
-    body = zstandard.decompress(blob[24 : 24 + packed])
-    names = np.cumsum(np.frombuffer(body, dtype=np.uint32, count=entries), dtype=np.uint64).astype(np.uint32)
-    local = np.frombuffer(body, dtype=np.uint16, count=entries, offset=4 * entries).astype(np.int64)
-    ranks = np.frombuffer(body, dtype=np.uint16, count=entries, offset=6 * entries).astype(np.int64)
-    at = 24 + packed
-    keys = np.frombuffer(blob[at : at + 8 * texts], dtype=np.uint64)
-    n = np.frombuffer(blob[at + 8 * texts : at + 12 * texts], dtype=np.uint32).astype(np.int64)
-    maps = np.frombuffer(blob[at + 12 * texts :], dtype=np.uint64)
-    return keys, n, maps, names, local, ranks
+    ends = 48 + np.cumsum(np.frombuffer(blob, dtype=np.int64, count=6))
+    names, local, ranks, n, keys, maps = (blob[a:b] for a, b in zip([48, *ends.tolist()], ends.tolist()))
+    return (
+        np.frombuffer(keys, dtype=np.uint64),
+        _unpack_numbers(n, np.uint32).astype(np.int64),
+        np.frombuffer(maps, dtype=np.uint64),
+        np.cumsum(_unpack_numbers(names, np.uint32), dtype=np.uint64).astype(np.uint32),
+        _unpack_numbers(local, np.uint32).astype(np.int64),
+        _unpack_numbers(ranks, np.uint32).astype(np.int64),
+    )
+
 
+_MET = "a long, b long, n int, least int"
 
-def _merge_shard(frame: pd.DataFrame, t: Fraction, block: int = 2_000_000) -> pd.DataFrame:
-    """Merge the shard's lists: pairs that share a short list and may still reach T.
+
+def _merge_shard(blobs: list[bytes], t: Fraction, short_lists: int, block: int = 2_000_000, most_kept: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """Merge the shard's lists: how often each pair that may still reach T occurs in them, and how often it must.
 
     A list is in order of text size.  From an entry's place among its text's
     shingles follow the sizes that a partner may have, a range of the list; the
-    partner's place must allow the same, and the bitmaps of both must.
+    partner's place must allow the same, and the bitmaps of both must.  Counts
+    of a pair may come in several rows, so a shard of many pairs is not held at
+    once.
     """
-    parts = [_unpack(b) for b in frame["blob"]]
+    parts = [_unpack(b) for b in blobs]
     shift = _starts(np.array([len(p[0]) for p in parts]))
     all_n = np.concatenate([p[1] for p in parts])
     all_lanes = _widths(all_n)
@@ -259,8 +302,8 @@ def _merge_shard(frame: pd.DataFrame, t: Fraction, block: int = 2_000_000) -> pd
     size = n[text]
     order = np.argsort((names.astype(np.uint64) << np.uint64(32)) | np.minimum(size, 0xFFFFFFFF).astype(np.uint64), kind="stable")
     names, text, ranks, size = names[order], text[order], ranks[order], size[order]
-    # the largest partner that an entry's place allows
-    most = (both * (size - ranks) - num * size) // num
+    # the largest partner that an entry's place allows, for one of the first S shingles that a pair shares
+    most = (both * (size - ranks + short_lists - 1) - num * size) // num
     # only entries that allow a partner of their own size or more can be the smaller side
     small = np.flatnonzero(most >= size)
     place = (names.astype(np.uint64) << np.uint64(32)) | size.astype(np.uint64)
@@ -288,8 +331,14 @@ def _merge_shard(frame: pd.DataFrame, t: Fraction, block: int = 2_000_000) -> pd
         at = np.zeros(len(keys), dtype=np.int32)
         at[rows] = np.arange(len(rows), dtype=np.int32)
         row_at[width] = at
-    found: list[np.ndarray] = []
-    kept = 0
+    found, seen = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def rows() -> pd.DataFrame:
+        x, y = found // len(keys), found % len(keys)
+        least = np.minimum(short_lists, _needed(n[x] + n[y], t))
+        a, b = keys[x].view(np.int64), keys[y].view(np.int64)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "n": seen, "least": least})
+
     ends = np.cumsum(count)
     begin = 0
     while begin < len(count):
@@ -313,44 +362,38 @@ def _merge_shard(frame: pd.DataFrame, t: Fraction, block: int = 2_000_000) -> pd
                 apart += np.bitwise_count(grid[left, lane] ^ grid[right, lane])
             near = own[apart <= spare[own]]
             if len(near):
-                found.append(np.minimum(a[near], b[near]) * len(keys) + np.maximum(a[near], b[near]))
-                kept += len(near)
-        if kept > 4_000_000:
-            found = [np.unique(np.concatenate(found))]
-            kept = 0
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
-    a, b = keys[pairs // max(1, len(keys))].view(np.int64), keys[pairs % max(1, len(keys))].view(np.int64)
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-
-def _key_filter(pairs: DataFrame, bits: int) -> np.ndarray:
-    """A bit set of fixed size over the keys of all pairs, ORed by Spark."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-    slot = F.pmod("key", F.lit(1 << bits))
-    words = (
-        keys.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(key, {1 << bits}) % 64 as int))").alias("bit"))
-        .groupBy("word")
-        .agg(F.bit_or("bit").alias("bit"))
-        .toPandas()
+                codes = np.minimum(a[near], b[near]) * len(keys) + np.maximum(a[near], b[near])
+                found, seen = _added(np.concatenate([found, codes]), np.concatenate([seen, np.ones(len(codes), dtype=np.int64)]))
+        if len(found) > most_kept:
+            yield rows()
+            found, seen = found[:0], seen[:0]
+    if len(found):
+        yield rows()
+
+
+def _asked_rows(rows: DataFrame, pairs: DataFrame, members: DataFrame, bits: int) -> DataFrame:
+    """The rows whose content may be a text of some pair.
+
+    Their content keys set bits of a table of 2**bits bits, which is broadcast
+    (2**(bits-6) rows at most), so that other contents never leave the JVM.
+    """
+    texts = members.select(F.col("k1").alias("key"), "content_key").distinct()
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts, "key")
+    word, flag = F.shiftright(F.pmod("content_key", F.lit(1 << bits)), 6).alias("word"), F.expr(
+        f"shiftleft(1L, cast(pmod(content_key, {1 << bits}) % 64 as int))"
     )
-    out = np.zeros((1 << bits) // 64, dtype=np.int64)
-    out[words["word"].to_numpy(dtype=np.int64)] = words["bit"].to_numpy(dtype=np.int64)
-    return out.view(np.uint64)
+    table = keys.groupBy(word).agg(F.bit_or(flag).alias("flags"))
+    marked = rows.withColumn("word", word).join(F.broadcast(table), "word")
+    return marked.where(F.col("flags").bitwiseAND(flag) != 0).select("content")
 
 
-def _set_pass(chunks: DataFrame, k: int, shared, bits: int) -> DataFrame:
-    """``k1, k2, grams`` of the texts whose key may be in a pair: sorted 48-bit shingles."""
+def _set_pass(rows: DataFrame, k: int) -> DataFrame:
+    """``k1, k2, grams`` of texts: sorted 48-bit shingles."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asked = shared.value
         for _, words, counts, grams, runs in _batches(frames, k):
             k1, k2 = text_keys(words, counts)
-            slot = k1 & np.uint64((1 << bits) - 1)
-            hit = ((asked[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool) & (runs > 0)
-            _, first = np.unique(np.stack([k1, k2]), axis=1, return_index=True)
-            once = np.zeros(len(k1), dtype=bool)
-            once[first] = True
-            hit &= once
+            hit = (runs > 0) & ~pd.DataFrame({"k1": k1, "k2": k2}).duplicated().to_numpy()
             sets, n = _distinct(grams[np.repeat(hit, runs)], runs[hit])
             ends = np.cumsum(n)
             yield pd.DataFrame(
@@ -361,7 +404,7 @@ def _set_pass(chunks: DataFrame, k: int, shared, bits: int) -> DataFrame:
                 }
             )
 
-    return chunks.mapInPandas(scan, "k1 long, k2 long, grams binary")
+    return rows.mapInPandas(scan, "k1 long, k2 long, grams binary")
 
 
 _LINKS = "a1 long, a2 long, b1 long, b2 long, shared int, similarity double"
@@ -392,30 +435,36 @@ def near_copies(
     shard_entries: int = 3_000_000,
     long_list: int = 4_096,
     filter_bits: int = 23,
+    short_lists: int = 2,
 ) -> tuple[DataFrame, DataFrame]:
     """(links, members): pairs of different texts over the threshold, and each chunk's text.
 
     ``links``: ``a1, a2, b1, b2, shared, similarity`` between text keys;
     ``members``: ``chunk_id, k1, k2``.  Copies share a key and need no link.
-    The sketch (2**sketch_bits 16-bit counters) and the key filter
+    The sketch (2**sketch_bits counters) and the key filter
     (2**filter_bits bits) are what is broadcast: fixed sizes.
     """
     spark = chunks.sparkSession
-    rows = spread(chunks.where("content is not null and chunk_id is not null").select("chunk_id", "content"))
+    rows = spread(
+        chunks.where("content is not null and chunk_id is not null").select("chunk_id", "content", F.xxhash64("content").alias("content_key"))
+    )
     counted = checkpoint(_count_pass(rows, k, sketch_bits))
-    members = counted.where("part is null").select("chunk_id", "k1", "k2").distinct()
+    found = counted.where("part is null").select("chunk_id", "content_key", "k1", "k2")
+    members = found.select("chunk_id", "k1", "k2").distinct()
     sketch = _sketch(counted, sketch_bits)
     texts = counted.where("part is null").count()
     mean = float(sketch.sum(dtype=np.int64)) / max(1, texts)
-    entries = texts * (1 + mean * float(1 - threshold))
+    entries = texts * (short_lists + mean * float(1 - threshold))
     shards = max(4, int(-(-entries // shard_entries)))
     shared = spark.sparkContext.broadcast(sketch)
-    blobs = _post_pass(rows, k, threshold, shared, shards, long_list)
-    pairs = checkpoint(
-        blobs.groupBy("shard").applyInPandas(lambda f: _merge_shard(f, threshold), "a long, b long").distinct()
-    )
-    asked = spark.sparkContext.broadcast(_key_filter(pairs, filter_bits))
-    sets = _set_pass(rows, k, asked, filter_bits).groupBy("k1", "k2").agg(F.first("grams").alias("grams"))
+    blobs = _post_pass(rows, k, threshold, short_lists, shared, shards, long_list)
+
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _merge_shard([b for f in frames for b in f["blob"]], threshold, short_lists)
+
+    met = blobs.groupBy("shard").applyInPandas(merge, _MET).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least"))
+    pairs = checkpoint(met.where("n >= least").select("a", "b"))
+    sets = _set_pass(_asked_rows(rows, pairs, found, filter_bits), k).groupBy("k1", "k2").agg(F.first("grams").alias("grams"))
     left = sets.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("grams").alias("left"))
     right = sets.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("grams").alias("right"))
     met = pairs.join(left, F.col("a") == F.col("a1")).join(right, F.col("b") == F.col("b1"))
@@ -423,12 +472,27 @@ def near_copies(
     return links, members
 
 
-def chunk_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
+def _copy_pairs(members: DataFrame, block: int) -> DataFrame:
+    """``ca, cb``: the pairs among copies of a text.
+
+    The chunks of a text go to blocks of about ``block``, and blocks meet
+    pairwise, so no task has all the pairs of a text with many copies.
+    """
+    many = members.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1")
+    own = members.join(many, ["k1", "k2"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    own = own.withColumn("own", F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int"))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    a = other.select("k1", "k2", F.col("own").alias("i"), F.col("other").alias("j"), F.col("chunk_id").alias("ca"))
+    b = other.select("k1", "k2", F.col("other").alias("i"), F.col("own").alias("j"), F.col("chunk_id").alias("cb"))
+    return a.join(b, ["k1", "k2", "i", "j"]).where("ca < cb").select("ca", "cb")
+
+
+def chunk_pairs(links: DataFrame, members: DataFrame, block: int = 1_024) -> DataFrame:
     """``chunk_id_a, chunk_id_b``: every pair of chunks, copies included, the smaller id first."""
     a = members.select(F.col("chunk_id").alias("ca"), F.col("k1").alias("a1"), F.col("k2").alias("a2"))
     b = members.select(F.col("chunk_id").alias("cb"), F.col("k1").alias("b1"), F.col("k2").alias("b2"))
     linked = links.select("a1", "a2", "b1", "b2").join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("ca", "cb")
-    copies = a.join(b, (F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2")) & (F.col("ca") < F.col("cb"))).select("ca", "cb")
+    copies = _copy_pairs(members, block)
     return (
         linked.unionByName(copies)
         .where("ca <> cb")

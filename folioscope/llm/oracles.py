@@ -99,6 +99,19 @@ shared as (
 select distinct ca chunk_id_a, cb chunk_id_b
 from shared join sizes x on x.chunk_id = ca and x.t = ta join sizes y on y.chunk_id = cb and y.t = tb
 where o * 5 >= (x.n + y.n - o) * 3""",
+    "p1_classes": r"""
+with recursive words as (
+  select distinct chunk_id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') w from chunks
+  where content is not null and chunk_id is not null),
+texts as (select w, hash(w) t, min(chunk_id) name from words where len(w) >= 3 group by w),
+grams as (select distinct name, array_to_string(w[i:i+2], ' ') g from (select name, w, unnest(range(1, len(w) - 1)) i from texts)),
+sizes as (select name, count(*) n from grams group by all),
+shared as (select a.name x, b.name y, count(*) o from grams a join grams b on a.g = b.g and a.name <> b.name group by all),
+edges as (select x, y from shared join sizes p on p.name = x join sizes q on q.name = y where o * 5 >= (p.n + q.n - o) * 3),
+reach as (select name x, name y from texts union select r.x, e.y from reach r join edges e on r.y = e.x),
+classes as (select x, min(y) class_id from reach group by all)
+select chunk_id, class_id, (select count(*) from edges e where e.x = name) links
+from words join texts using (w) join classes on x = name""",
     "p5_found": _RANKED + "select query_id, page_id from ranked where rank <= 10",
     "p5_ranked": _RANKED + "select query_id, page_id, score, rank from ranked where rank <= 10",
     "p6_found": """

@@ -28,9 +28,9 @@ def similar(rows, k, t):
     return out
 
 
-@pytest.mark.parametrize("long_list", [3, 4096])
+@pytest.mark.parametrize("long_list,short_lists", [(3, 2), (4096, 3), (4096, 1)])
 @pytest.mark.parametrize("k,t", [(3, Fraction(3, 5)), (5, Fraction(4, 5)), (1, Fraction(1))])
-def test_near_copies_match_brute_force(spark, k, t, long_list):
+def test_near_copies_match_brute_force(spark, k, t, long_list, short_lists):
     rng = random.Random(5)
     pool = [f"word{i}" for i in range(40)]
     rows = []
@@ -41,8 +41,8 @@ def test_near_copies_match_brute_force(spark, k, t, long_list):
             rows.append((f"c{i}-{j}", "_ ".join(copy).upper() if j == 1 else " ".join(copy)))
     rows += [rows[0], ("again", rows[5][1]), ("c0-0", "another text of the same id " * 3), ("null", None), ("empty", ""), (None, rows[3][1]), ("long", " ".join(rng.choices(pool, k=3000)))]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "chunk_id string, content string, k1 int")
-    got = neardup.chunk_pairs(*neardup.near_copies(frame, k, t, sketch_bits=12, shard_entries=500, long_list=long_list, filter_bits=10))
-    pairs = [tuple(r) for r in got.collect()]
+    found = neardup.near_copies(frame, k, t, sketch_bits=12, shard_entries=500, long_list=long_list, filter_bits=10, short_lists=short_lists)
+    pairs = [tuple(r) for r in neardup.chunk_pairs(*found, block=2).collect()]
     assert len(pairs) == len(set(pairs)) and set(pairs) == similar(rows, k, t)
 
 
