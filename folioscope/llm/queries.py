@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import language, leakage, neardup, packing, scans, site_lines, split, topn, truncation
-from folioscope.session import read_table
+from folioscope.session import checkpoint, read_table
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +154,19 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, sf_dir))
 
 
+def p8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of each capacity, texts and tokens they cover, and containers that break a rule."""
+    packed = checkpoint(p8_containers(spark, sf_dir))
+    broken = packing.rule_breaks(packed).groupBy("capacity").agg(F.count("*").alias("broken"))
+    return (
+        packed.groupBy("capacity")
+        .agg(F.countDistinct("doc_id").alias("texts"), F.max("n_tokens").alias("largest"))
+        .join(broken, "capacity", "left")
+        .select("capacity", "texts", (F.col("largest") <= F.col("capacity")).alias("within"), F.coalesce("broken", F.lit(0)).alias("broken"))
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p5_found, p5_ranked, p6_found, p6_pieces, p6_chunk_pages, p7_found, p7_lines, p7_clean_pages, p9_found, p9_items, p9_clean, p10_found, p10_sources, p10_limits, p2_found, p2_languages, p2_segments, p1_found, p1_classes, p3_found, p3_pages, p8_containers, p8_fill)
+    for f in (p5_found, p5_ranked, p6_found, p6_pieces, p6_chunk_pages, p7_found, p7_lines, p7_clean_pages, p9_found, p9_items, p9_clean, p10_found, p10_sources, p10_limits, p2_found, p2_languages, p2_segments, p1_found, p1_classes, p3_found, p3_pages, p8_containers, p8_fill, p8_rules)
 }

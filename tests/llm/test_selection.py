@@ -1,7 +1,7 @@
 """Top N, splitting, packing, repeated lines and leaked passages against brute force."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given
@@ -84,7 +84,9 @@ def test_packing_keeps_its_rules(spark):
     rows = [(i, t, "big" if i % 3 else None, 1) for i, t in enumerate(texts)] + [(0, texts[0], None, 1), (900, None, "s", 1), (901, "", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, tokens int")
     limits = spark.createDataFrame([("pack", "tokens", 64), ("pack", "tokens", 256), ("page", "characters", 9)], "purpose string, unit string, max_size int")
-    out = packing.pack(docs, limits, shard_items=60).collect()
+    packed = packing.pack(docs, limits, shard_items=60).cache()
+    assert packing.rule_breaks(packed).count() == 0
+    out = packed.collect()
     counter = packing.TokenCounter()
     for capacity in (64, 256):
         bins, parts = defaultdict(list), defaultdict(list)
@@ -99,12 +101,47 @@ def test_packing_keeps_its_rules(spark):
             assert sum(n for _, n in pieces) == total and (len(pieces) == 1) == (total <= capacity)
         copies = [{r.doc_id for r in b} & set(range(150, 155)) for b in bins.values()]
         assert max(map(len, copies)) == 1
+        assert all(n <= b[0].source_quota for b in bins.values() for n in Counter(r.source for r in b if r.source == b[0].source).values())
     assert packing.pack(docs.limit(0), limits).count() == 0
 
 
 def test_best_fit_takes_the_tightest_compatible_bin():
-    bins = packing.pack_shard([(6, 1, 0, 0), (5, 1, 0, 1), (4, 2, 0, 2), (4, 1, 1, 3), (1, 2, 1, 4)], 10)
-    assert sorted(map(sorted, bins)) == [[0, 2], [1, 3], [4]] or sorted(map(sorted, bins)) == [[0, 3], [1, 2, 4]]
+    # nine containers at least, so no source repeats in one
+    items = [(60, "a", -1)] * 12 + [(50, "b", 0), (45, "b", 1), (40, "b", 0), (38, "c", 0), (1, "c", 0)]
+    bins = packing.pack_shard(items, 100)
+    by = {i: b for b in bins for i in b}
+    assert packing.source_quotas(items, 100, 1.0) == {"a": 2, "b": 1, "c": 1}
+    assert all(len({0, 1} & {items[i][2]}) <= 1 for b in bins for i in b)
+    assert by[14] == [0, 14] and sorted(by[15]) != sorted(by[12]) and 16 not in by[12] + by[14] + by[15]
+
+
+def test_bins_find_what_a_scan_finds():
+    rng = random.Random(8)
+    bins = packing.Bins()
+    held: list[tuple[int, int]] = []
+    for step in range(4000):
+        if rng.random() < 0.6 or not held:
+            bins.full.append(rng.choice([0, 1, 2, 4, 3, 7]) if rng.random() < 0.5 else 7)
+            held.append((rng.randrange(1, 500), len(bins.full) - 1))
+            bins.put(*held[-1])
+        else:
+            size, mask = rng.randrange(1, 500), rng.choice([1, 2, 4, 3])
+            want = min((r, b) for r, b in held if r >= size and not bins.full[b] & mask) if any(
+                r >= size and not bins.full[b] & mask for r, b in held
+            ) else None
+            assert bins.take(size, mask) == want
+            if want:
+                held.remove(want)
+
+
+def test_no_container_holds_near_copies(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(500)}" for _ in range(60)]
+    near = [" ".join(base[:i] + ["changed"] + base[i + 1 :]) for i in range(0, 5)]
+    rows = [(i, t, f"s{i}") for i, t in enumerate(near)] + [(100 + i, f"short text {i}", "t") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = packing.pack(docs, spark.createDataFrame([("pack", "tokens", 2000)], "purpose string, unit string, max_size int")).collect()
+    assert len({r.container for r in out if r.doc_id < 5}) == 5 and len({r.cluster for r in out if r.doc_id < 5}) == 1
 
 
 def lines_by_hand(pages, owners, least_docs, share, letters):
@@ -191,6 +228,6 @@ def test_leaks(spark, block_words):
     assert leakage.find_leaks(frame, asked.limit(0)).count() == 0
 
 
-def test_search_goes_on_among_equally_tight_bins():
-    items = [(60, 1, 0, i) for i in range(20)] + [(60, 2, 0, 20), (40, 1, 0, 21)]
-    assert [20, 21] in packing.pack_shard(items, 100)
+def test_search_goes_on_to_the_tightest_bin_without_the_source():
+    items = [(60, "a", -1)] * 20 + [(60, "b", -1), (40, "a", -1)]
+    assert [20, 21] in packing.pack_shard(items, 100, slack=0.5)
