@@ -3,7 +3,9 @@
 For each item over its limit the least number of pieces is computed, equal
 targets are placed, and each target is moved to the strongest boundary near it
 from which the rest still fits; where no boundary lies in reach a piece is
-added, and only a stretch without any boundary is cut at a bare position.
+added, as often as needed: the cut goes back to the last boundary of the piece,
+and the targets of the rest are placed anew.  Only a piece without any boundary
+inside is cut at a bare position.
 
 Defined results: items within the limit and null or empty contents give no
 pieces; lengths and offsets are code points; repeated rows count once; each
@@ -57,37 +59,23 @@ def cut_points(text: str, max_size: int, overlap: int) -> list[tuple[int, int]]:
     if n <= max_size:
         return [(0, n)] if n else []
     step = max_size - overlap
-    least = -(-(n - overlap) // step)
-    hard: list[int] | None = None
-    for count in range(least, least + 3):
-        ends, weak = [], False
-        at = overlap
-        for k in range(1, count):
-            high = min(n - 1, at + step)
-            low = max(at + 1, n - (count - k) * step)
-            target = overlap + (n - overlap) * k // count
-            # a good place near the target, else anything that still lets the rest fit
-            reach = max(40, step // 5)
-            near = _best_cut(text, max(low, target - reach), min(high, target + reach), target)
-            cut = near or _best_cut(text, low, high, target)
-            if cut is None:
-                weak = True
-                at = min(max(target, low), high)
-            else:
-                at = cut[0]
-            ends.append(at)
-            if at + step >= n and k >= least - 1:
-                break
-        if n - at > step:
-            continue
-        if hard is None or not weak:
-            hard = ends
-        if not weak:
-            break
-    assert hard is not None
-    edges = [*hard, n]
-    starts = [0, *(e - overlap for e in hard)]
-    return list(zip(starts, edges))
+    reach = max(40, step // 5)
+    ends: list[int] = []
+    at = overlap
+    while n - at > step:
+        left = -(-(n - at) // step)
+        high, low = min(n - 1, at + step), max(at + 1, n - (left - 1) * step)
+        target = min(max(at + (n - at) // left, low), high)
+        # a good place near the target, else anything that still lets the rest fit, else a piece more
+        cut = (
+            _best_cut(text, max(low, target - reach), min(high, target + reach), target)
+            or _best_cut(text, low, high, target)
+            or (_best_cut(text, at + 1, low - 1, low) if low > at + 1 else None)
+        )
+        at = cut[0] if cut else target
+        ends.append(at)
+    starts = [0, *(e - overlap for e in ends)]
+    return list(zip(starts, [*ends, n]))
 
 
 def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,11 +90,12 @@ def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def size_table(limits: DataFrame) -> DataFrame:
-    """The strictest character limit of each purpose: at most one row per purpose."""
+    """The strictest character limit of each purpose with its overlap: at most one row per purpose."""
     return (
         limits.where("unit = 'characters' and max_size is not null")
         .groupBy(F.col("purpose").alias("kind"))
-        .agg(F.min("max_size").alias("max_size"), F.coalesce(F.min("overlap"), F.lit(0)).alias("overlap"))
+        .agg(F.min(F.struct("max_size", F.coalesce("overlap", F.lit(0)).alias("overlap"))).alias("least"))
+        .select("kind", "least.*")
     )
 
 

@@ -24,14 +24,13 @@ def top_n(
     group: str = "query_id",
     item: str = "page_id",
     score: str = "score",
-    heavy_share: int = 2_000,
-    heavy_least: int = 50_000,
+    heavy_share: int = 100,
 ) -> DataFrame:
     """``group, item, score, rank`` of the first ``n`` items of each group.
 
-    A group is heavy with more than ``heavy_least`` rows and more than
-    1/``heavy_share`` of all rows, so there are fewer than ``heavy_share``
-    heavy groups: that bounds the key list which is broadcast.
+    A group is heavy with more than 1/``heavy_share`` of all rows, at every
+    size, so there are fewer than ``heavy_share`` heavy groups: that bounds the
+    key list which is broadcast.
     """
     if isinstance(n, bool) or not isinstance(n, int) or n < 1:
         raise ValueError("n must be a positive integer")
@@ -41,8 +40,7 @@ def top_n(
     best = valid.groupBy("g", "i").agg(F.max("s").alias("s"))
     counts = valid.groupBy("g").count()
     total = counts.agg(F.sum("count").alias("total"))
-    limit = F.greatest(F.lit(heavy_least), F.col("total") / heavy_share)
-    heavy_keys = [r["g"] for r in counts.join(F.broadcast(total), F.col("count") > limit).select("g").collect()]
+    heavy_keys = [r["g"] for r in counts.join(F.broadcast(total), F.col("count") * heavy_share > F.col("total")).select("g").collect()]
 
     order = [F.col("s").desc(), F.col("i").asc()]
     light, ranked = best, []

@@ -21,14 +21,14 @@ def best(rows, n):
     return {(g, i, s, r) for g, d in top.items() for r, (i, s) in enumerate(sorted(d.items(), key=lambda x: (-x[1], x[0]))[:n], 1)}
 
 
-@pytest.mark.parametrize("heavy_least", [0, 10**9])
-def test_top_n_heavy_and_light(spark, heavy_least):
+@pytest.mark.parametrize("heavy_share", [1, 8, 100])
+def test_top_n_heavy_and_light(spark, heavy_share):
     rng = random.Random(1)
     rows = [(0, rng.randrange(400), rng.choice([0.5, 0.25, None, NAN, rng.random()])) for _ in range(3000)]
     rows += [(g, rng.randrange(20), round(rng.random(), 1)) for g in range(1, 40) for _ in range(15)]
     rows += [(None, 1, 0.5), (1, None, 0.5), (99, 1, None), (98, 1, NAN)]
     frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "query_id long, page_id long, score double, g string, rank int")
-    got = topn.top_n(frame, 10, heavy_share=8, heavy_least=heavy_least).collect()
+    got = topn.top_n(frame, 10, heavy_share=heavy_share).collect()
     assert {tuple(r) for r in got} == best(rows, 10) and len(got) == len(best(rows, 10))
 
 
@@ -61,6 +61,24 @@ def test_cuts_lie_at_strong_boundaries():
     assert split.cut_points("x" * 5000, 1200, 120)[1][0] + 120 == split.cut_points("x" * 5000, 1200, 120)[0][1]
 
 
+@given(st.lists(st.integers(1, 90), min_size=1, max_size=12), st.integers(20, 60), st.integers(0, 10))
+def test_no_bare_cut_where_a_boundary_lies_in_the_piece(lengths, size, overlap):
+    text = " ".join("x" * n for n in lengths)
+    spans = split.cut_points(text, size, overlap)
+    for (a, b), _ in zip(spans, spans[1:]):
+        begin = a + overlap if a else overlap
+        assert text[b] == " " or " " not in text[begin + 1 : b + 1]
+
+
+def test_pieces_are_added_until_cuts_reach_boundaries(spark):
+    # every other word nearly fills a piece, so far more pieces than the least number are needed
+    text = " ".join(["x" * 55, "y" * 10] * 20)
+    spans = split.cut_points(text, 60, 0)
+    assert all(text[b] == " " for _, b in spans[:-1]) and len(spans) > -(-len(text) // 60) + 5
+    limits = spark.createDataFrame([(1, "page", "characters", 30, 9), (2, "page", "characters", 40, 2)], "limit_id int, purpose string, unit string, max_size int, overlap int")
+    assert [tuple(r) for r in split.size_table(limits).collect()] == [("page", 30, 9)]
+
+
 def test_split_items_and_page_ids(spark):
     limits = spark.createDataFrame([(1, "page", "characters", 30, 5), (2, "chunk", "characters", 20, 4), (3, "pack", "tokens", 9, 0)], "limit_id int, purpose string, unit string, max_size int, overlap int")
     a, b = "First page text here. It goes on.", "Second page has more text."
