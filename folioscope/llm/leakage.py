@@ -1,10 +1,9 @@
 """Evaluation passages inside training text.
 
 The normalised items form one generalised suffix automaton, which is sent to
-the workers; training words stream through it while the longest match ending at
-each word is tracked, and runs of ``least`` words or more are reported.  Every
-run of ``least`` words holds a ``STEP``-gram at one of the probed positions, so
-the automaton only runs around probes that it knows (nothing is missed).
+the workers; all words of the training texts stream through it while the length
+of the longest match ending at each word is tracked, and runs of ``least`` words
+or more are reported with the items that hold them.
 
 The automaton's size depends on the items alone.  More than ``block_words``
 words of items are cut into blocks, each with its own automaton and its own
@@ -27,7 +26,6 @@ from folioscope.llm.words import WORD, words
 from folioscope.session import spread
 
 SPANS = "doc_id long, item_id long, first_word int, n_words int, start int, end int, doc_words int"
-STEP = 4
 
 
 class SuffixAutomaton:
@@ -49,13 +47,21 @@ class SuffixAutomaton:
         for state in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
             if self.link[state] > 0:
                 owners[self.link[state]] |= owners[state]
-        # for a match of at least ``least`` words: the state of its last ``least`` words
+        # for a match of at least ``least`` words: the owners of its last ``least`` words, as a number of their set
+        self.sets = [0]
+        number = {0: 0}
         self.owners_of_run = [0] * len(self.link)
         for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
             if self.length[state] >= least:
                 up = self.link[state]
-                self.owners_of_run[state] = self.owners_of_run[up] if self.length[up] >= least else owners[state]
-        self.grams = {tuple(t[k : k + STEP]) for _, t in items for k in range(len(t) - STEP + 1)}
+                if self.length[up] >= least:
+                    self.owners_of_run[state] = self.owners_of_run[up]
+                    continue
+                held = owners[state]
+                if held not in number:
+                    number[held] = len(self.sets)
+                    self.sets.append(held)
+                self.owners_of_run[state] = number[held]
 
     def _extend(self, last: int, code: int, owners: list[int]) -> int:
         if code in self.next[last]:
@@ -91,43 +97,31 @@ class SuffixAutomaton:
 
     def runs(self, tokens: list[str]) -> list[tuple[int, int, int]]:
         """(item, first word, words) of every maximal run of at least ``least`` shared words."""
-        least, grams = self.least, self.grams
-        stride = least - STEP + 1
-        probes = [k for k in range(0, len(tokens) - STEP + 1, stride) if tuple(tokens[k : k + STEP]) in grams]
+        following, link, length, least, owners = self.next, self.link, self.length, self.least, self.owners_of_run
         out: list[tuple[int, int, int]] = []
-        begin = end = -1
-        for k in [*probes, None]:
-            if k is not None and k - stride + 1 <= end:
-                end = k + least
-                continue
-            if end > 0:
-                self._scan(tokens, max(0, begin), min(end, len(tokens)), out)
-            if k is not None:
-                begin, end = k - stride + 1, k + least
-        return out
-
-    def _scan(self, tokens: list[str], begin: int, end: int, out: list[tuple[int, int, int]]) -> None:
-        code_of, following, link, length = self.vocabulary.get, self.next, self.link, self.length
-        state = matched = 0
         open_runs: dict[int, int] = {}
-        active = 0
-        for at in range(begin, end):
-            code = code_of(tokens[at], -1)
-            while state and code not in following[state]:
-                state = link[state]
+        active = state = matched = 0
+        for at, code in enumerate(map(self.vocabulary.get, tokens)):
+            to = following[state].get(code)
+            if to is None:
+                # a word that no item holds leads back to the empty match at once
+                if code is None:
+                    state = 0
+                while state and to is None:
+                    state = link[state]
+                    to = following[state].get(code)
                 matched = length[state]
-            if code in following[state]:
-                state = following[state][code]
+            if to is not None:
+                state = to
                 matched += 1
-            # the state that stands for the match itself
-            while state and length[link[state]] >= matched:
-                state = link[state]
-            now = self.owners_of_run[state] if matched >= self.least else 0
+            now = owners[state] if matched >= least else 0
             if now != active:
-                self._switch(active & ~now, now & ~active, at, open_runs, out)
+                before, after = self.sets[active], self.sets[now]
+                self._switch(before & ~after, after & ~before, at, open_runs, out)
                 active = now
         if active:
-            self._switch(active, 0, end, open_runs, out)
+            self._switch(self.sets[active], 0, len(tokens), open_runs, out)
+        return out
 
     def _switch(self, closed: int, opened: int, at: int, open_runs: dict[int, int], out: list) -> None:
         while closed:
@@ -158,10 +152,10 @@ def _blocks(items: DataFrame, least: int, block_words: int) -> Iterator[list[tup
         yield block
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, least: int = 12, block_words: int = 200_000) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, least: int = 12, block_words: int = 100_000) -> DataFrame:
     """Maximal shared runs of at least ``least`` words: one row per document, item and run."""
-    if least < STEP + 1:
-        raise ValueError(f"least must be above {STEP}")
+    if least < 1:
+        raise ValueError("least must be positive")
     spark = documents.sparkSession
     corpus = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null"))
     parts = []

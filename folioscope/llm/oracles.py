@@ -119,6 +119,11 @@ select distinct 'page' item_kind, cast(page_id as varchar) item_key from parsed_
 where status = 'success' and length(content) > (select max_size from size_limits where purpose = 'page')
 union select 'chunk', chunk_id from chunks
 where length(content) > (select max_size from size_limits where purpose = 'chunk')""",
+    "p6_rules": """
+with items as (select 'page' item_kind, cast(page_id as varchar) item_key, content from parsed_pages where status = 'success'
+  union select 'chunk', chunk_id, content from chunks)
+select item_kind, count(*) items, cast(0 as bigint) too_long, cast(0 as bigint) wrong_overlap, cast(0 as bigint) not_joined
+from items join size_limits on purpose = item_kind and unit = 'characters' and length(content) > max_size group by item_kind""",
     "p7_found": _LINES + "select distinct page_id, line_no from owned join repeated using (publisher, k)",
     "p7_lines": _LINES + "select publisher, k as line, n_docs, of_source from repeated",
     "p7_clean_pages": _LINES + """, hit as (select distinct page_id, line_no from owned join repeated using (publisher, k)),
@@ -132,6 +137,19 @@ from texts left join kept using (page_id) group by page_id, texts.content""",
     "p8_rules": """
 select max_size capacity, (select count(distinct doc_id) from documents where text <> '') texts, true as within, cast(0 as bigint) broken
 from (select distinct max_size from size_limits where purpose = 'pack' and unit = 'tokens')""",
+    "p9_items": r"""
+with item_words as (
+  select distinct item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from eval_items where text is not null),
+doc_words as (
+  select distinct doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from documents where text is not null),
+item_runs as (
+  select item_id, i, array_to_string(w[i:i+11], ' ') run from (select item_id, w, unnest(range(1, len(w) - 10)) i from item_words)),
+doc_runs as (
+  select doc_id, hash(w) t, i, array_to_string(w[i:i+11], ' ') run from (select doc_id, w, unnest(range(1, len(w) - 10)) i from doc_words)),
+met as (select distinct doc_id, t, item_id, d.i from doc_runs d join item_runs r using (run)),
+islands as (select *, i - row_number() over (partition by doc_id, t, item_id order by i) island from met)
+select item_id, count(distinct doc_id) documents, max(n) longest_words
+from (select doc_id, item_id, cast(count(*) + 11 as int) n from islands group by doc_id, t, item_id, island) group by item_id""",
     "p9_found": r"""
 with item_words as (
   select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from eval_items where text is not null),

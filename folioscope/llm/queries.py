@@ -43,6 +43,11 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir)
 
 
+def p6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items cut per kind, and those whose pieces are too long, overlap wrongly or do not join to the item's text."""
+    return split.rule_breaks(_items(spark, sf_dir), read_table(spark, sf_dir, "size_limits"))
+
+
 def p6_chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, pages = read_table(spark, sf_dir, "chunks"), read_table(spark, sf_dir, "parsed_pages")
     return split.chunk_piece_pages(_pieces(spark, sf_dir), chunks, pages)
@@ -168,5 +173,5 @@ def p8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p5_found, p5_ranked, p6_found, p6_pieces, p6_chunk_pages, p7_found, p7_lines, p7_clean_pages, p9_found, p9_items, p9_clean, p10_found, p10_sources, p10_limits, p2_found, p2_languages, p2_segments, p1_found, p1_classes, p3_found, p3_pages, p8_containers, p8_fill, p8_rules)
+    for f in (p5_found, p5_ranked, p6_found, p6_pieces, p6_rules, p6_chunk_pages, p7_found, p7_lines, p7_clean_pages, p9_found, p9_items, p9_clean, p10_found, p10_sources, p10_limits, p2_found, p2_languages, p2_segments, p1_found, p1_classes, p3_found, p3_pages, p8_containers, p8_fill, p8_rules)
 }

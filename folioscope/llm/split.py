@@ -116,6 +116,29 @@ def split_items(items: DataFrame, limits: DataFrame) -> DataFrame:
     return over.mapInPandas(_cut, PIECES)
 
 
+def rule_breaks(items: DataFrame, limits: DataFrame) -> DataFrame:
+    """``item_kind, items, too_long, wrong_overlap, not_joined``: cut items per kind, and those that break a rule.
+
+    An item is told by its key and text, so a key with two texts is two items.
+    """
+    sizes = F.broadcast(size_table(limits))
+    texts = items.select("item_kind", "item_key", "content").distinct().withColumn("whole", F.xxhash64("content"))
+    keyed = texts.select("item_kind", F.concat_ws(":", "item_key", F.col("whole").cast("string")).alias("item_key"), "content")
+    pieces = split_items(keyed, limits).join(sizes.withColumnRenamed("kind", "item_kind"), "item_kind")
+    in_order = F.array_sort(F.collect_list(F.struct("piece_no", "start", "end", "content")))
+    joined = F.expr("aggregate(p, '', (s, x) -> concat(s, if(x.piece_no = 0, x.content, substring(x.content, overlap + 1))))")
+    lapped = F.expr("forall(p, x -> x.piece_no = 0 or p[x.piece_no - 1].end - x.start = overlap)")
+    cut = pieces.groupBy("item_kind", "item_key", "max_size", "overlap").agg(in_order.alias("p"), F.max(F.length("content")).alias("longest"))
+    told = cut.select(
+        "item_kind",
+        (F.col("longest") > F.col("max_size")).alias("too_long"),
+        (~lapped).alias("wrong_overlap"),
+        (F.xxhash64(joined).cast("string") != F.substring_index("item_key", ":", -1)).alias("not_joined"),
+    )
+    counts = [F.count_if(c).alias(c) for c in ("too_long", "wrong_overlap", "not_joined")]
+    return told.groupBy("item_kind").agg(F.count("*").alias("items"), *counts)
+
+
 def page_spans(pages: DataFrame) -> DataFrame:
     """``doc_id, page_id, begin, finish`` of success pages in their document's text."""
     usable = (
