@@ -7,6 +7,10 @@ bitwise OR unites their bitmaps; the exact cardinality is the sum of bit counts.
 An occurrence is deleted when its document's bit is set in the bitmap of a line
 over the thresholds.
 
+Most lines occur once.  Occurrences are counted by key first; a key with fewer
+than the least number of documents cannot reach it, and only occurrences of the
+other keys are given bitmaps or shuffled again.
+
 Keys are two independent 64-bit hashes of source and reduced line; a false
 match needs both to collide.
 
@@ -93,15 +97,17 @@ def repeated_lines(bitmaps: DataFrame, sizes: DataFrame, least_docs: int, least_
     )
 
 
-def _may_repeat(occurrences: DataFrame, repeated: DataFrame, bits: int = 23) -> DataFrame:
-    """Occurrences whose key falls on a set bit of a fixed table of 2**bits bits.
+def _may_repeat(occurrences: DataFrame, least_docs: int, bits: int = 23) -> DataFrame:
+    """Occurrences whose key occurs at least ``least_docs`` times, and the few that share a bit with such a key.
 
-    The table (2**(bits-6) rows at most, whatever the input) is broadcast, so
-    the lines that occur once never reach the shuffle by key.
+    The counts are exact; the keys that reach the number set bits of a fixed
+    table (2**(bits-6) rows at most, whatever the input), which is broadcast, so
+    lines that cannot repeat never reach the shuffle by key.
     """
+    often = occurrences.groupBy("k1").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
     slot = F.pmod("k1", F.lit(1 << bits))
     word, flag = F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(k1, {1 << bits}) % 64 as int))")
-    table = repeated.groupBy(word).agg(F.bit_or(flag).alias("flags"))
+    table = often.groupBy(word).agg(F.bit_or(flag).alias("flags"))
     marked = occurrences.withColumn("word", word).join(F.broadcast(table), "word")
     return marked.where(F.col("flags").bitwiseAND(flag) != 0).drop("word", "flags")
 
@@ -116,12 +122,12 @@ def find_repeated_lines(
     """``page_id, line_no, source, n_docs, of_source`` of every occurrence of a repeated line."""
     documents = document_numbers(metadata)
     sizes = source_sizes(documents)
-    # read for the bitmaps and again for the deletion
-    found = materialize(line_occurrences(pages, documents, sizes, least_letters))
+    # read for the counts, the bitmaps and the deletion
+    found = _may_repeat(materialize(line_occurrences(pages, documents, sizes, least_letters)), least_docs)
     bitmaps = line_bitmaps(found)
     repeated = repeated_lines(bitmaps, sizes, least_docs, least_share)
     held = bitmaps.select("k1", "k2", "slot", "bits").join(repeated, ["k1", "k2"])
-    hit = _may_repeat(found.drop("source_no"), repeated).join(held, ["k1", "k2", "slot"])
+    hit = found.drop("source_no").join(held, ["k1", "k2", "slot"])
     return (
         hit.where((F.col("bits").bitwiseAND(F.col("bit"))) != 0)
         .select("page_id", "line_no", "source", "n_docs", "of_source")
