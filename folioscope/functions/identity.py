@@ -8,7 +8,7 @@ import hashlib
 import json
 import uuid
 import warnings
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -24,53 +24,55 @@ def digest(value: Any) -> str:
     return hashlib.sha256(canonical(value).encode()).hexdigest()
 
 
-def normalize_option(value: Any, cache_key: str | None, nonce: str) -> tuple[Any, bool]:
-    """(JSON form of an option, whether the form is the same in every run)."""
-    if isinstance(value, enum.Enum):
-        return normalize_option(value.value, cache_key, nonce)
-    if value is None or isinstance(value, (bool, int, float, str)):
-        return value, True
-    if dataclasses.is_dataclass(value) and not isinstance(value, type):
-        fields = {f.name: getattr(value, f.name) for f in dataclasses.fields(value)}
-        inner, stable = normalize_option(fields, cache_key, nonce)
-        return {"type": f"{type(value).__module__}.{type(value).__qualname__}", "fields": inner}, stable
-    if isinstance(value, Mapping):
-        parts = {str(k): normalize_option(v, cache_key, nonce) for k, v in value.items()}
-        return {k: v for k, (v, _) in parts.items()}, all(s for _, s in parts.values())
-    if isinstance(value, Sequence) and not isinstance(value, (bytes, bytearray)):
-        parts = [normalize_option(v, cache_key, nonce) for v in value]
-        return [v for v, _ in parts], all(s for _, s in parts)
-    kind = f"{getattr(value, '__module__', '')}.{getattr(value, '__qualname__', type(value).__qualname__)}"
-    if cache_key:
-        return {"type": kind, "cache_key": cache_key}, True
-    return {"type": kind, "run": nonce}, False
-
-
 def chunking_payload(name: str, options: Mapping[str, Any], cache_key: str | None, nonce: str | None = None) -> dict:
-    """The stable form of chunking options; objects without one are tied to this run, with a warning."""
-    normal, stable = normalize_option(dict(options), cache_key, nonce or uuid.uuid4().hex)
-    if not stable:
-        warnings.warn("options hold objects without a cache key; this result is not reused by other runs", RuntimeWarning, stacklevel=3)
+    """The JSON form of chunking options.
+
+    Functions and other objects are told by their type and the cache key;
+    without one they are tied to this run, and a warning says so.
+    """
+    mark = {"cache_key": cache_key} if cache_key else {"run": nonce or uuid.uuid4().hex}
+    unnamed: list[str] = []
+
+    def plain(value: Any) -> Any:
+        if isinstance(value, enum.Enum):
+            return value.value
+        if dataclasses.is_dataclass(value) and not isinstance(value, type):
+            return {"type": _kind(type(value)), "fields": {f.name: getattr(value, f.name) for f in dataclasses.fields(value)}}
+        for form, make in ((Mapping, dict), (range, list), (set, sorted), (frozenset, sorted)):
+            if isinstance(value, form):
+                return make(value)
+        unnamed.append(_kind(value if hasattr(value, "__qualname__") else type(value)))
+        return {"type": unnamed[-1], **mark}
+
+    normal = json.loads(json.dumps(dict(options), default=plain))
+    if unnamed and not cache_key:
+        warnings.warn(f"{', '.join(unnamed)} in options without a cache key: other runs do not reuse this result", RuntimeWarning, stacklevel=3)
     return {"chunker_name": name, "options": normal, "cache_key": cache_key}
 
 
+def _kind(value: Any) -> str:
+    return f"{getattr(value, '__module__', '')}.{value.__qualname__}"
+
+
 def aggregation_name(aggregation: str | Callable) -> str:
     if isinstance(aggregation, str):
         return aggregation
-    kind = aggregation if hasattr(aggregation, "__qualname__") else type(aggregation)
-    return f"custom:{kind.__module__}.{kind.__qualname__}"
+    return "custom:" + _kind(aggregation if hasattr(aggregation, "__qualname__") else type(aggregation))
 
 
 def rows_identity(rows: DataFrame, *columns: str) -> DataFrame:
-    """``identity``: SHA-256 over all rows whatever their order.
+    """``identity``: SHA-256 over all distinct rows whatever their order.
 
-    Rows are hashed where they are and the digests summed as 60-bit parts, so
-    nothing is gathered but one number per part.
+    Rows are hashed where they are; hashes of one beginning are sorted and
+    hashed together (4,096 groups, so none holds more than its share), and the
+    groups' hashes, in order, make the identity.  A value is written with its
+    length, so no two rows are written alike.
     """
-    row = F.sha2(F.to_json(F.struct(*columns)), 256)
-    parts = [F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
-    sums = rows.agg(*[F.sum(p).cast("string").alias(f"p{i}") for i, p in enumerate(parts)], F.count("*").alias("n"))
-    return sums.select(F.sha2(F.concat_ws(":", F.col("n").cast("string"), *[F.coalesce(f"p{i}", F.lit("0")) for i in range(4)]), 256).alias("identity"))
+    values = [F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    hashed = rows.select(F.sha2(F.concat(*values), 256).alias("h")).distinct()
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256)
+    groups = hashed.groupBy(F.substring("h", 1, 3).alias("g")).agg(joined("h").alias("h"))
+    return groups.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), ""), 256).alias("identity"))
 
 
 def query_set_identity(queries: DataFrame) -> DataFrame:

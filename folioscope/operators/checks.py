@@ -69,9 +69,23 @@ def status_conflicts(parsed: DataFrame) -> DataFrame:
 def parser_output_conflicts(requested: DataFrame, output: DataFrame) -> DataFrame:
     """Requested pages without exactly one row of the same document and number, and rows nobody asked for."""
     want = requested.select("page_id", F.col("doc_id").alias("want_doc"), F.col("page_number").alias("want_number"))
-    have = output.select("page_id", F.col("doc_id").alias("have_doc"), F.col("page_number").alias("have_number"))
+    have = output.groupBy("page_id").agg(
+        F.count("*").alias("rows"), F.min("doc_id").alias("have_doc"), F.min("page_number").alias("have_number")
+    )
     return want.join(have, "page_id", "full_outer").where(
-        "want_doc is null or have_doc is null or want_doc <> have_doc or want_number <> have_number"
+        "want_doc is null or have_doc is null or rows <> 1 or want_doc <> have_doc or not want_number <=> have_number"
+    )
+
+
+def parsed_conflicts(parsed: DataFrame) -> DataFrame:
+    """Parsed rows as a whole: a page of a document twice, more than one format: ``rule, detail``."""
+    formats = parsed.groupBy("content_format").agg(F.count("*").alias("n"))
+    several = formats.agg(F.count("*").alias("formats")).where("formats > 1")
+    return _union(
+        [
+            _violations(duplicates(parsed, "doc_id", "page_number"), "page twice", F.to_json(F.struct("doc_id", "page_number"))),
+            _violations(several, "several formats", F.col("formats")),
+        ]
     )
 
 
@@ -90,7 +104,7 @@ def span_conflicts(spans: DataFrame) -> DataFrame:
 def chunk_conflicts(chunks: DataFrame) -> DataFrame:
     """Chunks without id, document, content or pages, or with a page twice."""
     return chunks.where(
-        "chunk_id = '' or doc_id = '' or coalesce(content, '') = '' or coalesce(size(page_ids), 0) = 0"
+        "coalesce(chunk_id, '') = '' or coalesce(doc_id, '') = '' or coalesce(content, '') = '' or coalesce(size(page_ids), 0) = 0"
         " or size(array_distinct(page_ids)) <> size(page_ids)"
     )
 

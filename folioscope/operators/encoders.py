@@ -74,7 +74,10 @@ class HashTokenEncoder:
 
 @dataclass(frozen=True)
 class ModelEncoder:
-    """A Sentence Transformers model by name; loaded once per worker."""
+    """A Sentence Transformers model by name; loaded once per worker.
+
+    Of kind late_interaction it gives the vectors of a text's tokens.
+    """
 
     model_name: str
     dimension: int
@@ -83,7 +86,17 @@ class ModelEncoder:
     trust_remote_code: bool = False
 
     def encode(self, texts: list[str]) -> list[Any]:
-        return _model(self.model_name, self.device, self.trust_remote_code).encode(texts).tolist()
+        return self._run(_model(self.model_name, self.device, self.trust_remote_code), ("encode",), texts)
+
+    def encode_query(self, texts: list[str]) -> list[Any]:
+        """As the model encodes questions, where it has a way of its own for them."""
+        return self._run(_model(self.model_name, self.device, self.trust_remote_code), ("encode_query", "encode"), texts)
+
+    def _run(self, model: Any, names: tuple[str, ...], texts: list[str]) -> list[Any]:
+        call = next(getattr(model, n) for n in names if hasattr(model, n))
+        if self.kind == "dense":
+            return np.asarray(call(texts)).tolist()
+        return [np.asarray(m.cpu() if hasattr(m, "cpu") else m).tolist() for m in call(texts, output_value="token_embeddings")]
 
 
 @functools.lru_cache(maxsize=2)
@@ -104,8 +117,14 @@ def check_encoder(encoder: Encoder, index_type: str) -> None:
         raise IndexingError("the encoder must have a fixed positive dimension")
 
 
-def encode_column(rows: DataFrame, text: str, output: str, encoder: Encoder, batch_size: int = 32) -> DataFrame:
-    """``rows`` with an encoded column; texts go to the encoder in batches of ``batch_size``."""
+def encode_column(
+    rows: DataFrame, text: str, output: str, encoder: Encoder, batch_size: int = 32, query: bool = False
+) -> DataFrame:
+    """``rows`` with an encoded column; texts go to the encoder in batches of ``batch_size``.
+
+    Queries go to the encoder's ``encode_query`` where it has one.
+    """
+    call = getattr(encoder, "encode_query", encoder.encode) if query else encoder.encode
     kind = "array<float>" if encoder.kind == "dense" else "array<array<float>>"
 
     @F.pandas_udf(kind)
@@ -114,7 +133,7 @@ def encode_column(rows: DataFrame, text: str, output: str, encoder: Encoder, bat
             vectors: list[Any] = []
             texts = series.fillna("").tolist()
             for at in range(0, len(texts), batch_size):
-                part = encoder.encode(texts[at : at + batch_size])
+                part = call(texts[at : at + batch_size])
                 vectors += part
             if len(vectors) != len(texts):
                 raise IndexingError("the encoder returned another number of rows than texts")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.errors import EvaluationError
+from folioscope.operators.checks import require, run_conflicts
 
 FAMILIES = ("nDCG", "Recall", "Success", "RR")
 
@@ -37,6 +38,13 @@ def evaluated_qrels(qrels: DataFrame, run: DataFrame) -> DataFrame:
     return judged.join(asked, "query_id", "left_semi").groupBy("query_id", "page_id").agg(F.max("score").alias("grade"))
 
 
+def require_run(run: DataFrame, queries: DataFrame, pages: DataFrame) -> None:
+    """The run is not empty, names known queries and pages, and has no page or rank twice for a query."""
+    if not run.take(1):
+        raise EvaluationError("the run is empty")
+    require({"run": run_conflicts(run, queries, pages)}, EvaluationError)
+
+
 def metric_values(run: DataFrame, qrels: DataFrame, metrics: Sequence[str] = FAMILIES, cutoffs: Sequence[int] = (1, 5, 10)) -> DataFrame:
     """``query_id, family, k, value`` of every judged query of the run.
 

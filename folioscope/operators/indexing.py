@@ -9,12 +9,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.errors import IndexingError
+from folioscope.functions.ranges import range_numbers
 from folioscope.functions.vectors import l2_norm, l2_normalize
-from folioscope.operators.checks import chunk_conflicts, duplicates, matrix_conflicts, require, vector_conflicts
+from folioscope.operators.checks import chunk_conflicts, duplicates, matrix_conflicts, not_contiguous, require, vector_conflicts
 from folioscope.operators.encoders import Encoder, check_encoder, encode_column
 
 INDEX_TYPES = ("dense", "late_interaction")
@@ -47,51 +48,71 @@ class IndexingConfig:
             raise IndexingError("trust_remote_code must be true or false")
 
 
-def index_positions(chunks: DataFrame, checkpointed: bool = False) -> DataFrame:
-    """``index_position, chunk_id``: 0-based places in chunk-id order.
+def index_positions(chunks: DataFrame) -> DataFrame:
+    """``index_position, chunk_id``: 0-based places in chunk-id order."""
+    return range_numbers(chunks.select("chunk_id"), [F.col("chunk_id").asc()], "index_position").select("index_position", "chunk_id")
 
-    A range-partitioned sort numbers the chunks within each range; the ranges'
-    sizes, one small row each, give the offsets, so no task sees all chunks.
-    """
-    ranged = chunks.select("chunk_id").repartitionByRange("chunk_id").withColumn("part", F.spark_partition_id())
-    local = Window.partitionBy("part").orderBy("chunk_id")
-    numbered = ranged.withColumn("place", F.row_number().over(local) - 1)
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).select("part", "offset")
-    return numbered.join(offsets, "part").select((F.col("offset") + F.col("place")).alias("index_position"), "chunk_id")
+
+def recorded_model(chunks: DataFrame) -> Column:
+    """The model that made a chunk's embedding, as its metadata tell."""
+    return F.col("metadata")["embedding_model"] if "metadata" in chunks.columns else F.lit(None).cast("string")
 
 
 def precomputed_state(chunks: DataFrame, embedding: str = "embedding", model: Column | None = None) -> DataFrame:
-    """``chunks, embedded, models, widths``: whether late-chunk embeddings can be used as they are."""
+    """``chunks, embedded, models, model, widths, width``: whether late-chunk embeddings can be used as they are."""
+    name = model if model is not None else recorded_model(chunks)
+    held = F.when(F.col(embedding).isNotNull(), F.size(embedding))
     return chunks.agg(
         F.count("*").alias("chunks"),
         F.count(embedding).alias("embedded"),
-        F.countDistinct(model if model is not None else F.lit("one")).alias("models"),
-        F.countDistinct(F.when(F.col(embedding).isNotNull(), F.size(embedding))).alias("widths"),
+        F.countDistinct(name).alias("models"),
+        F.min(name).alias("model"),
+        F.countDistinct(held).alias("widths"),
+        F.max(held).alias("width"),
     )
 
 
-def build_dense(chunks: DataFrame, encoder: Encoder | None, batch_size: int = 32, check: bool = True) -> DataFrame:
+def index_conflicts(positions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``rule, detail``: positions that are not 0 .. n-1, ids that come twice, and ids that only one side has."""
+    ids = positions.select("chunk_id", F.lit(1).alias("indexed")).distinct()
+    now = chunks.select("chunk_id", F.lit(1).alias("known")).distinct()
+    apart = ids.join(now, "chunk_id", "full_outer").where("indexed is null or known is null")
+    rule = lambda rows, name, detail: rows.select(F.lit(name).alias("rule"), F.col(detail).cast("string").alias("detail"))
+    return (
+        rule(not_contiguous(positions, "index_position"), "positions", "n")
+        .unionByName(rule(duplicates(positions, "chunk_id"), "id twice", "chunk_id"))
+        .unionByName(rule(apart, "not in both", "chunk_id"))
+    )
+
+
+def build_dense(
+    chunks: DataFrame, encoder: Encoder | None, batch_size: int = 32, check: bool = True, model_name: str | None = None
+) -> DataFrame:
     """``chunk_id, page_ids, embedding`` at unit length.
 
     With ``encoder`` None the chunks' own embeddings are used: all of them must
-    be there and of one width.
+    be there, of one width and, where ``metadata`` names it, of one model, which
+    is ``model_name`` if that is given.
     """
     if check:
         require({"chunk": chunk_conflicts(chunks), "chunk id twice": duplicates(chunks, "chunk_id")}, IndexingError)
     if encoder is None:
-        state = precomputed_state(chunks).first()
+        state = precomputed_state(chunks, model=recorded_model(chunks)).first()
         if state["chunks"] != state["embedded"] or state["widths"] != 1:
             raise IndexingError("every chunk needs an embedding of the same width")
-        raw, width = chunks, None
+        if state["models"] > 1 or (model_name and state["model"] not in (None, model_name)):
+            raise IndexingError(f"the embeddings are of {state['models']} models ({state['model']}), not of {model_name or 'one'}")
+        raw, width = chunks, state["width"]
     else:
         check_encoder(encoder, "dense")
         raw, width = encode_column(chunks, "content", "embedding", encoder, batch_size), encoder.dimension
-    if check and width:
+    if check:
         require({"vector": vector_conflicts(raw, width)}, IndexingError)
+    else:
+        # a zero vector has no direction, whoever checked the rest
+        require({"zero vector": raw.where(~(l2_norm(F.col("embedding")) > 0))}, IndexingError)
     unit = F.transform(l2_normalize(F.col("embedding")), lambda x: x.cast("float"))
-    return raw.where(l2_norm(F.col("embedding")) > 0).select("chunk_id", "page_ids", unit.alias("embedding"))
+    return raw.select("chunk_id", "page_ids", unit.alias("embedding"))
 
 
 def build_late(chunks: DataFrame, encoder: Encoder, batch_size: int = 32, check: bool = True) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from folioscope.errors import BenchmarkError, ExperimentError
 from folioscope.functions.identity import aggregation_name, chunking_payload, digest, qrels_identity, query_set_identity, rows_identity
 from folioscope.operators import chunking, evaluation, indexing, parsing, retrieval
+from folioscope.operators.checks import query_conflicts, require
 from folioscope.operators.encoders import Encoder, encode_column
 from folioscope.session import checkpoint
 from folioscope.plans.reports import comparison_table, metric_grid
@@ -121,16 +122,20 @@ def run_experiment(
     dense = config.indexing.index_type == "dense"
     build = indexing.build_dense if dense else indexing.build_late
     if dense and "embedding" in chunks.columns:
-        index = stage("indexing", i, lambda: build(chunks, None))
+        index = stage("indexing", i, lambda: build(chunks, None, model_name=config.indexing.model_name))
     else:
         index = stage("indexing", i, lambda: build(chunks, encoder, batch))
+    if reuse and artifacts.state(root, "indexing", used["indexing"]) == "complete":
+        apart = index.select("chunk_id").exceptAll(chunks.select("chunk_id")).unionByName(chunks.select("chunk_id").exceptAll(index.select("chunk_id")))
+        require({"index and chunks differ": apart}, ExperimentError)
+    require({"query": query_conflicts(queries)}, ExperimentError)
     r = {
         "retrieval": payloads["retrieval"],
         "unit": "pages",
         "index_hash": used["indexing"],
         "queries": query_set_identity(queries).first()["identity"],
     }
-    asked = encode_column(queries, "text", "embedding" if dense else "tokens", encoder, batch)
+    asked = encode_column(queries, "text", "embedding" if dense else "tokens", encoder, batch, query=True)
     run = stage(
         "retrieval",
         r,
@@ -138,6 +143,7 @@ def run_experiment(
             index, asked, config.retrieval.top_k, config.retrieval.aggregation, config.indexing.index_type, contributors=True
         ),
     )
+    evaluation.require_run(run, queries, pages)
     e = {"evaluation": payloads["evaluation"], "retrieval_hash": used["retrieval"], "qrels": qrels_identity(qrels).first()["identity"]}
     values = stage("evaluation", e, lambda: evaluation.metric_values(run, qrels, config.evaluation.metrics, depth))
     means = {f"{x['family']}@{x['k']}": x["value"] for x in evaluation.aggregate_metrics(values).collect()}
@@ -146,8 +152,9 @@ def run_experiment(
     table = metric_grid(means, evaluation.check_metrics(config.evaluation.metrics), depth)
     name = digest(payloads)
     home = artifacts.stage_path(root, "experiments", name)
-    write_json_atomic(home / "result.json", {"experiment_hash": name, "artifacts": used, "metrics": means})
-    write_text_atomic(home / "results.txt", table + "\n")
+    stages = {stage: artifacts.reference(root, stage, key) for stage, key in used.items()}
+    write_json_atomic(f"{home}/result.json", {"experiment_hash": name, "stages": stages, "metrics": means})
+    write_text_atomic(f"{home}/results.txt", table + "\n")
     return ExperimentResult(name, used, means, table)
 
 
@@ -182,6 +189,6 @@ def run_benchmark(
     table = comparison_table([(k, r.metrics) for k, r in results.items()], families, cutoffs)
     name = digest({"experiments": [[k, r.experiment_hash] for k, r in results.items()], "metrics": list(metrics), "k": list(ks)})
     home = artifacts.stage_path(root, "benchmarks", name)
-    write_json_atomic(home / "results.json", {k: r.metrics for k, r in results.items()})
-    write_text_atomic(home / "results.txt", table + "\n")
+    write_json_atomic(f"{home}/results.json", {k: r.metrics for k, r in results.items()})
+    write_text_atomic(f"{home}/results.txt", table + "\n")
     return name, table, results

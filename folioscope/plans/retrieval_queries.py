@@ -32,8 +32,9 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pages(how: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pages = retrieval.aggregate_pages(_scored(spark, sf_dir), how, decimals=8)
-        return retrieval.rank_pages(pages, TOP).select("query_id", "page_id", "score", "rank")
+        chunks, asked = vector_chunks(spark, sf_dir), _asked(spark, sf_dir)
+        pages = retrieval.retrieve(chunks, asked, TOP, how, decimals=6, page_decimals=8)
+        return pages.select("query_id", "page_id", "score", "rank")
 
     query.__name__ = f"dense_topk_pages_{how}"
     return query
@@ -57,9 +58,8 @@ def custom_agg_reciprocal_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_contributors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = retrieval.rank_chunks(_scored(spark, sf_dir))
-    pages = retrieval.rank_pages(retrieval.aggregate_pages(ranked, "max", decimals=8), TOP)
-    named = retrieval.with_contributors(pages, ranked)
+    chunks, asked = vector_chunks(spark, sf_dir), _asked(spark, sf_dir)
+    named = retrieval.retrieve(chunks, asked, TOP, "max", decimals=6, contributors=True)
     ids = F.array_join(F.transform("chunks", lambda c: c["chunk_id"]), ",")
     return named.select("query_id", "page_id", "rank", ids.alias("contributors"))
 
@@ -89,8 +89,9 @@ def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def maxsim_topk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = retrieval.rank_chunks(_late(spark, sf_dir), retrieval.CANDIDATES)
-    return retrieval.rank_pages(retrieval.aggregate_pages(cut, "max", decimals=4), TOP).select("query_id", "page_id", "score", "rank")
+    chunks, asked = _matrices(vector_chunks(spark, sf_dir)), _matrices(_asked(spark, sf_dir))
+    pages = retrieval.retrieve(chunks, asked, TOP, "max", "late_interaction", decimals=6, page_decimals=4)
+    return pages.select("query_id", "page_id", "score", "rank")
 
 
 def maxsim_candidate_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,9 +112,8 @@ def hash_encoder_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = read_table(spark, sf_dir, "chunks").where("content is not null").select("chunk_id", "page_ids", "content").distinct()
     asked = read_table(spark, sf_dir, "queries").where("query_id % 100 = 0 and text is not null").select("query_id", "text").distinct()
     index = encode_column(chunks, "content", "embedding", encoder, 512)
-    scored = retrieval.score_dense(index, encode_column(asked, "text", "embedding", encoder), decimals=6)
-    pages = retrieval.aggregate_pages(scored, "max", decimals=5)
-    return retrieval.rank_pages(pages, TOP).select("query_id", "page_id", "score", "rank")
+    asked = encode_column(asked, "text", "embedding", encoder)
+    return retrieval.retrieve(index, asked, TOP, "max", decimals=6, page_decimals=5).select("query_id", "page_id", "score", "rank")
 
 
 _SCORED = """

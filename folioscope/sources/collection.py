@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 from folioscope import schemas
 from folioscope.errors import CollectionError
 from folioscope.operators.checks import collection_conflicts, duplicates, require
+from folioscope.session import checkpoint
+from folioscope.sources import files
 from folioscope.sources.records import copy_into, read_jsonl, read_qrels, write_jsonl
 
 FILES = {
@@ -84,7 +85,8 @@ def create_corpus(documents: DataFrame) -> DataFrame:
     Offsets are sums over ranges of documents, so no task holds all documents.
     """
     ranged = documents.select("file_name", "doc_id", "page_number").repartitionByRange(F.lower("file_name"), "file_name")
-    placed = ranged.withColumn("part", F.spark_partition_id())
+    # fixed, so that sizes and places are of the same ranges
+    placed = checkpoint(ranged.withColumn("part", F.spark_partition_id()))
     sizes = placed.groupBy("part").agg(F.sum("page_number").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("part", "base")
@@ -100,23 +102,36 @@ def default_metadata(counted: DataFrame) -> DataFrame:
     return counted.select("file_name", "doc_id", "local_path", F.col("page_number").cast("int").alias("page_number"), F.expr("cast(map() as map<string,string>)").alias("extra"))
 
 
-def validate_collection(collection: Collection) -> None:
+def validate_collection(collection: Collection, counted: DataFrame | None = None) -> None:
+    """All rules; with the folder's documents and their pages (``counted``) also those between records and files."""
     if (collection.queries is None) != (collection.qrels is None):
         raise CollectionError("queries and qrels must come together")
     conflicts = collection_conflicts(collection.pages, collection.documents, collection.queries, collection.qrels)
     require(conflicts, CollectionError)
+    if counted is not None:
+        require({"documents": document_conflicts(collection.documents, counted)}, CollectionError)
 
 
-def load_collection(spark: SparkSession, root: str, validate: bool = True) -> Collection:
-    """The collection kept in a folder, read with its schemas and checked."""
+def load_collection(
+    spark: SparkSession,
+    root: str,
+    validate: bool = True,
+    suffix: str | None = None,
+    counter: Callable[[bytes], int] = pdf_pages,
+) -> Collection:
+    """The collection kept in a folder, read with its schemas and checked.
+
+    With a ``suffix`` the folder's documents are read too, and records must
+    name each of them, by its stem, with its number of pages.
+    """
     at = {k: f"{root}/{v}" for k, v in FILES.items()}
     pages = read_jsonl(spark, at["corpus"], schemas.PAGE)
     documents = read_jsonl(spark, at["documents"], schemas.DOCUMENT, extra="extra")
-    queries = read_jsonl(spark, at["queries"], schemas.QUERY, extra="extra") if Path(at["queries"]).exists() else None
-    qrels = read_qrels(spark, at["qrels"]) if Path(at["qrels"]).exists() else None
+    queries = read_jsonl(spark, at["queries"], schemas.QUERY, extra="extra") if files.exists(at["queries"]) else None
+    qrels = read_qrels(spark, at["qrels"]) if files.exists(at["qrels"]) else None
     out = Collection(root, pages, documents, queries, qrels)
     if validate:
-        validate_collection(out)
+        validate_collection(out, count_pages(scan_documents(spark, root, suffix), counter) if suffix else None)
     return out
 
 
@@ -131,7 +146,7 @@ def initialize_collection(
     counter: Callable[[bytes], int] = pdf_pages,
 ) -> Collection:
     """Take over the files given, make the corpus and document records that are not, and load."""
-    if not Path(root).is_dir():
+    if not files.is_folder(root):
         raise CollectionError(f"{root} is no folder")
     if (queries is None) != (qrels is None):
         raise CollectionError("queries and qrels must come together")
@@ -139,7 +154,7 @@ def initialize_collection(
     for name, source in given.items():
         if source is not None:
             copy_into(source, f"{root}/{FILES[name]}")
-    lacking = [n for n in ("corpus", "documents") if not Path(root, FILES[n]).exists()]
+    lacking = [n for n in ("corpus", "documents") if not files.exists(f"{root}/{FILES[n]}")]
     if lacking:
         scanned = scan_documents(spark, root, suffix)
         if not scanned.take(1):
@@ -153,10 +168,16 @@ def initialize_collection(
 
 
 def document_conflicts(documents: DataFrame, scanned: DataFrame) -> DataFrame:
-    """Records and files that lack each other or disagree: ``doc_id, rule``."""
-    files = scanned.select("doc_id", F.col("file_name").alias("file"))
-    both = documents.select("doc_id", "file_name").join(files, "doc_id", "full_outer")
-    return both.where("file_name is null or file is null or file <> file_name").select(
-        "doc_id",
-        F.when(F.col("file").isNull(), "no file").when(F.col("file_name").isNull(), "no record").otherwise("other file name").alias("rule"),
+    """Records and files that lack each other or disagree in name, stem or number of pages: ``doc_id, rule``."""
+    pages = F.col("page_number") if "page_number" in scanned.columns else F.lit(None).cast("int")
+    files = scanned.select("doc_id", F.col("file_name").alias("file"), pages.alias("held"))
+    both = documents.select("doc_id", "file_name", F.col("page_number").alias("declared")).join(files, "doc_id", "full_outer")
+    stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
+    rule = (
+        F.when(F.col("file").isNull(), "no file")
+        .when(F.col("file_name").isNull(), "no record")
+        .when(F.col("file") != F.col("file_name"), "other file name")
+        .when(stem != F.col("doc_id"), "id is not the stem")
+        .when(F.col("held") != F.coalesce("declared", F.lit(-1)), "other number of pages")
     )
+    return both.withColumn("rule", rule).where("rule is not null").select("doc_id", "rule")

@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
-import tempfile
-from pathlib import Path
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.errors import CollectionError
+from folioscope.sources import files
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, extra: str | None = None) -> DataFrame:
@@ -67,45 +65,30 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
-    """A folder of JSON-lines parts, committed as a whole; map columns named ``extra`` are laid open."""
-    flat = rows
+    """A folder of JSON-lines parts, written beside its place and moved there whole; a map column ``extra`` is laid open."""
+    part = f"{str(path).rstrip('/')}.part-{uuid.uuid4().hex}"
     if "extra" in rows.columns:
         names = [c for c in rows.columns if c != "extra"]
         own = F.to_json(F.struct(*names))
         more = F.to_json("extra")
         joined = F.when(F.size("extra") > 0, F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.lit(","), F.substring(more, F.lit(2), F.length(more)))).otherwise(own)
-        flat = rows.select(joined.alias("value"))
-        flat.write.mode("overwrite").text(path)
-        return
-    flat.write.mode("overwrite").json(path)
-
-
-def write_text_atomic(path: str | Path, text: str) -> None:
-    """A small driver-side file, complete or not there at all."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    handle, name = tempfile.mkstemp(dir=target.parent, prefix=f".{target.name}")
-    try:
-        with os.fdopen(handle, "w", encoding="utf-8") as out:
-            out.write(text)
-        os.replace(name, target)
-    except BaseException:
-        Path(name).unlink(missing_ok=True)
-        raise
-
-
-def write_json_atomic(path: str | Path, value: Any) -> None:
+        rows.select(joined.alias("value")).write.text(part)
+    else:
+        rows.write.json(part)
+    files.move(part, path)
+
+
+def write_text_atomic(path: str, text: str) -> None:
+    """A small file from the driver, complete or not there at all."""
+    files.write_text(path, text)
+
+
+def write_json_atomic(path: str, value: Any) -> None:
     write_text_atomic(path, json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n")
 
 
-def copy_into(source: str | Path, target: str | Path) -> None:
+def copy_into(source: str, target: str) -> None:
     """Copy a file into place; copying a file onto itself does nothing."""
-    source, target = Path(source), Path(target)
-    if not source.is_file():
+    if not files.is_file(source):
         raise CollectionError(f"{source} does not exist")
-    if target.exists() and source.samefile(target):
-        return
-    target.parent.mkdir(parents=True, exist_ok=True)
-    part = target.with_name(f".{target.name}.part")
-    shutil.copyfile(source, part)
-    os.replace(part, target)
+    files.copy(source, target)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.ranges import range_numbers
+
 
 @dataclass(frozen=True)
 class Subset:
@@ -16,16 +18,8 @@ class Subset:
 
 
 def _numbered(rows: DataFrame, old: str, new: str) -> DataFrame:
-    """0-based numbers in the order of the old key, by ranges and their sizes."""
-    ranged = rows.select(old).distinct().repartitionByRange(old).withColumn("part", F.spark_partition_id())
-    local = F.row_number().over(Window.partitionBy("part").orderBy(old)) - 1
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return (
-        ranged.withColumn("place", local)
-        .join(sizes.withColumn("base", before).select("part", "base"), "part")
-        .select(old, (F.col("base") + F.col("place")).alias(new))
-    )
+    """0-based numbers in the order of the old key."""
+    return range_numbers(rows.select(old).distinct(), [F.col(old).asc()], new)
 
 
 def select_documents(pages: DataFrame, queries: DataFrame, qrels: DataFrame, doc_ids: DataFrame) -> Subset:
