@@ -16,11 +16,12 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.errors import ChunkingError
-from folioscope.operators.documents import pages_of_span, reconstruct, usable_pages
+from folioscope.operators.checks import require, span_conflicts
+from folioscope.operators.documents import document_texts, page_ranges, pages_of_span, reconstruct, usable_pages
 from folioscope.operators.encoders import Encoder
 
 
@@ -359,24 +360,52 @@ def window_chunks(documents: DataFrame, chunk_size: int, chunk_overlap: int = 0)
     if not 0 <= chunk_overlap < chunk_size:
         raise ChunkingError("chunk_overlap must be at least 0 and below chunk_size")
     step = chunk_size - chunk_overlap
-    last = F.greatest(F.length("text") - chunk_overlap - 1, F.lit(0))
-    spans = (
-        documents.where(F.length("text") > 0)
-        .select("doc_id", "text", "page_ranges", F.posexplode(F.sequence(F.lit(0), last, F.lit(step))).alias("place", "start"))
-        .withColumn("end", F.least(F.col("start") + chunk_size, F.length("text")))
+    # the text is cut once, from front to back; a window is its block and the beginning of those behind it
+    blocks = documents.where(F.length("text") > 0).select(
+        "doc_id", "page_ranges", F.length("text").alias("n"), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("blocks")
     )
-    placed = spans.select(
-        "doc_id",
-        "place",
-        "start",
-        "end",
-        F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("content"),
-        F.create_map(F.lit("strategy"), F.lit("token")).alias("metadata"),
-        pages_of_span(F.col("page_ranges"), F.col("start"), F.col("end")).alias("page_ids"),
+    last = F.greatest(F.col("n") - chunk_overlap - 1, F.lit(0))
+    several = -(-chunk_size // step)
+
+    def window(start: Column, place: Column) -> Column:
+        end = F.least(start + chunk_size, F.col("n"))
+        text = F.substring(F.array_join(F.slice("blocks", place + 1, F.lit(several)), ""), 1, chunk_size)
+        pages = pages_of_span(F.col("page_ranges"), start, end)
+        return F.struct(place.alias("place"), start.alias("start"), end.alias("end"), text.alias("content"), pages.alias("page_ids"))
+
+    windows = F.transform(F.sequence(F.lit(0), last, F.lit(step)), window)
+    placed = blocks.select("doc_id", F.explode(windows).alias("w")).select(
+        "doc_id", "w.*", F.create_map(F.lit("strategy"), F.lit("token")).alias("metadata")
     )
     return _number(placed).select("chunk_id", "doc_id", "page_ids", "content", "start", "end", "metadata")
 
 
+class DocumentChunker:
+    """A strategy with full control: from a table of documents to a table of spans.
+
+    Registered as an instance; ``chunk_documents`` gives ``doc_id, place, start,
+    end`` and optionally ``metadata`` (a map of strings) for ``doc_id, text``.
+    Contents, checks, pages and names follow as for any strategy.
+    """
+
+    def check_options(self, options: Mapping[str, Any]) -> None:
+        """Raise where the options are wrong."""
+
+    def chunk_documents(self, documents: DataFrame, options: Mapping[str, Any]) -> DataFrame:
+        raise NotImplementedError
+
+
+def _controlled(chunker: DocumentChunker, name: str, documents: DataFrame, options: Mapping[str, Any]) -> DataFrame:
+    chunker.check_options(options)
+    made = chunker.chunk_documents(documents, options)
+    told = F.map_concat(F.create_map(F.lit("strategy"), F.lit(name)), F.col("metadata") if "metadata" in made.columns else F.create_map().cast("map<string,string>"))
+    spans = made.join(documents, "doc_id", "left").select(
+        "doc_id", "place", "start", "end", "text", told.alias("metadata"), F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("content")
+    )
+    require({"span": span_conflicts(spans.withColumn("content", F.coalesce("content", F.lit("")))).select("doc_id", "start", "end")}, ChunkingError)
+    return spans.drop("text")
+
+
 def chunk(parsed: DataFrame, config: ChunkingConfig) -> DataFrame:
     """``chunk_id, doc_id, page_ids, content, start, end, metadata`` (and ``embedding`` for late) of all documents."""
     options = dict(config.options)
@@ -384,11 +413,13 @@ def chunk(parsed: DataFrame, config: ChunkingConfig) -> DataFrame:
         if options:
             raise ChunkingError("the page strategy takes no options")
         return page_chunks(parsed)
-    documents = reconstruct(parsed)
     if config.chunker_name == "token" and options.get("tokenizer", "character") == "character":
         options.pop("tokenizer", None)
-        return window_chunks(documents, options.get("chunk_size", 2048), options.get("chunk_overlap", 0))
+        return window_chunks(reconstruct(parsed), options.get("chunk_size", 2048), options.get("chunk_overlap", 0))
+    documents = document_texts(parsed)
     function, name = get_chunker(config.chunker_name), config.chunker_name
+    if isinstance(function, DocumentChunker):
+        return _placed(_controlled(function, name, documents, options), parsed)
     try:
         inspect.signature(function).bind("", **options)
     except TypeError as error:
@@ -402,8 +433,12 @@ def chunk(parsed: DataFrame, config: ChunkingConfig) -> DataFrame:
                     out.append((doc, place, int(s.start), int(s.end), s.content, {"strategy": name, **s.metadata}, s.embedding))
             yield pd.DataFrame(out, columns=["doc_id", "place", "start", "end", "content", "metadata", "embedding"])
 
-    spans = documents.select("doc_id", "text").mapInPandas(cut, _SPANS)
-    ranges = documents.select("doc_id", "page_ranges")
-    placed = spans.join(ranges, "doc_id").withColumn("page_ids", pages_of_span(F.col("page_ranges"), F.col("start"), F.col("end")))
+    spans = documents.mapInPandas(cut, _SPANS)
+    return _placed(spans if name == "late" else spans.drop("embedding"), parsed)
+
+
+def _placed(spans: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Spans with the pages they lie on, numbered and named."""
+    placed = spans.join(page_ranges(parsed), "doc_id").withColumn("page_ids", pages_of_span(F.col("page_ranges"), F.col("start"), F.col("end")))
     columns = ["chunk_id", "doc_id", "page_ids", "content", "start", "end", "metadata"]
-    return _number(placed).select(*columns, *(["embedding"] if name == "late" else []))
+    return _number(placed).select(*columns, *(["embedding"] if "embedding" in spans.columns else []))

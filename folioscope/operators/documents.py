@@ -51,6 +51,22 @@ def reconstruct(parsed: DataFrame) -> DataFrame:
     )
 
 
+def page_ranges(parsed: DataFrame) -> DataFrame:
+    """``doc_id, page_ranges`` as :func:`reconstruct` gives them, from lengths alone."""
+    place = F.struct("start", "end", "page_id")
+    grouped = page_offsets(parsed).groupBy("doc_id").agg(F.array_sort(F.collect_list(place)).alias("places"))
+    ranges = F.transform("places", lambda p: F.struct(p["page_id"].alias("page_id"), p["start"].alias("start"), p["end"].alias("end")))
+    return grouped.select("doc_id", ranges.alias("page_ranges"))
+
+
+def document_texts(parsed: DataFrame) -> DataFrame:
+    """``doc_id, text`` of documents with usable pages."""
+    grouped = usable_pages(parsed).groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("page_number", "page_id", "content"))).alias("pages")
+    )
+    return grouped.select("doc_id", F.array_join(F.transform("pages", lambda p: p["content"]), "\n").alias("text"))
+
+
 def pages_of_span(ranges: Column, start: Column, end: Column) -> Column:
     """Ids of the pages that overlap a half-open span, in page order; row-local."""
     hit = F.filter(ranges, lambda r: (start < r["end"]) & (end > r["start"]))

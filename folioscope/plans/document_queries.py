@@ -43,6 +43,24 @@ if "paragraph" not in chunking._REGISTRY:
     chunking.register_chunker("paragraph")(_paragraphs)
 
 
+def _marked_windows(text: str) -> list[dict]:
+    parts = [text[a : a + 700] for a in range(0, len(text), 700)]
+    return [{"content": t, "start": 700 * k, "end": 700 * k + len(t), "metadata": {"letters": sum(c.isalpha() for c in t)}} for k, t in enumerate(parts)]
+
+
+if "marked_windows" not in chunking._REGISTRY:
+    chunking.register_chunker("marked_windows")(_marked_windows)
+
+
+def chunk_span_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of a function that returns mappings with places and metadata."""
+    rows = chunking.chunk(_parsed(spark, sf_dir), chunking.ChunkingConfig("marked_windows"))
+    pages = F.array_join(F.transform("page_ids", lambda p: p.cast("string")), ",")
+    return rows.select(
+        "chunk_id", "doc_id", pages.alias("page_ids"), "start", "end", F.md5("content").alias("digest"), F.col("metadata")["letters"].cast("int").alias("letters")
+    )
+
+
 def chunk_late_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder = HashTokenEncoder(dimension=16, most_tokens=10_000_000)
     config = chunking.ChunkingConfig("late", {"encoder": encoder, "embedding_model": "hash", "chunk_size": 1024}, cache_key="hash-16")
@@ -51,9 +69,9 @@ def chunk_late_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_span_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplied chunks that are not the slice of their document that they claim to be."""
+    """Supplied chunks that are not the slice of their document that they claim to be; every fifth start is given a wrong end."""
     docs = documents.reconstruct(_parsed(spark, sf_dir)).select("doc_id", "text")
-    chunks = read_table(spark, sf_dir, "chunks").select("chunk_id", "doc_id", "content", F.col("char_start").alias("start"), F.col("char_end").alias("end"))
+    chunks = read_table(spark, sf_dir, "chunks").select("chunk_id", "doc_id", "content", F.col("char_start").alias("start"), F.when(F.col("char_start") % 5 == 0, F.col("char_end") + 1).otherwise(F.col("char_end")).alias("end"))
     return checks.span_conflicts(chunks.join(docs, "doc_id")).select("chunk_id", "start", "end").distinct()
 
 
@@ -139,21 +157,32 @@ def check_page_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def check_page_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents_metadata").select("doc_id", "page_number").distinct()
-    pages = read_table(spark, sf_dir, "corpus").select("page_id", "doc_id", "page_number").distinct()
+    # faults are put in: every 13th page number is far too high
+    wrong = F.when(F.col("page_id") % 13 == 0, F.col("page_number") + 1000).otherwise(F.col("page_number"))
+    pages = read_table(spark, sf_dir, "corpus").select("page_id", "doc_id", wrong.alias("page_number")).distinct()
     return checks.pages_out_of_range(pages, docs).select("page_id", "doc_id")
 
 
 def check_status_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.status_conflicts(_parsed(spark, sf_dir)).select("page_id", "status")
+    # faults are put in: every ninth page claims to be empty
+    wrong = F.when(F.col("page_id") % 9 == 0, "empty").otherwise(F.col("status"))
+    return checks.status_conflicts(_parsed(spark, sf_dir).withColumn("status", wrong)).select("page_id", "status")
 
 
 def check_parser_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "corpus").select("page_id", "doc_id", "page_number").distinct()
-    return checks.parser_output_conflicts(pages, _parsed(spark, sf_dir).select("page_id", "doc_id", "page_number").distinct()).select("page_id")
+    return checks.parser_output_conflicts(pages, _parsed(spark, sf_dir)).select("page_id")
 
 
 def check_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.chunk_conflicts(read_table(spark, sf_dir, "chunks")).select("chunk_id")
+    # faults are put in: no text, no id, a page twice
+    chunks = read_table(spark, sf_dir, "chunks").select(
+        F.when(F.col("char_start") % 7 != 1, F.col("chunk_id")).alias("chunk_id"),
+        "doc_id",
+        F.when(F.col("char_start") % 11 != 1, F.col("content")).alias("content"),
+        F.when(F.col("char_start") % 13 == 1, F.concat("page_ids", "page_ids")).otherwise(F.col("page_ids")).alias("page_ids"),
+    )
+    return checks.chunk_conflicts(chunks).select("chunk_id")
 
 
 def check_contributors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,6 +201,9 @@ offsets as (select *, coalesce(sum(length(content) + 1) over (partition by doc_i
 _DOCS = f"{_USABLE}, docs as (select doc_id, string_agg(content, chr(10) order by page_number, page_id) txt, count(*) pages from usable group by all)"
 _ON = """select c.chunk_id, c.doc_id, string_agg(page_id::varchar, ',' order by o.s) page_ids, c.start, c."end", c.digest
 from named c join offsets o on o.doc_id = c.doc_id and c.start < o.s + length(o.content) and c."end" > o.s group by all"""
+_PLACED = """placed as (select s.*, string_agg(page_id::varchar, ',' order by o.s) page_ids from spans s join offsets o
+  on o.doc_id = s.doc_id and s.start < o.s + length(o.content) and s."end" > o.s group by all),
+named as (select *, printf('%s:%08d', doc_id, row_number() over (partition by doc_id order by place) - 1) chunk_id from placed)"""
 
 ORACLES = {
     "document_reconstruct": f"with {_DOCS} select doc_id, length(txt) chars, md5(txt) digest, pages from docs",
@@ -184,11 +216,22 @@ select printf('%s:%08d', doc_id, row_number() over (partition by doc_id order by
 with {_DOCS}, w as (select doc_id, txt, unnest(range(0, greatest(length(txt) - 64, 1), 448)) start from docs),
 named as (select printf('%s:%08d', doc_id, row_number() over (partition by doc_id order by start) - 1) chunk_id, doc_id, start,
   least(start + 512, length(txt)) "end", md5(substr(txt, start + 1, 512)) digest from w) {_ON}""",
+    "chunk_function_paragraph": f"""
+with {_DOCS}, parts as (select doc_id, unnest(string_split(txt, chr(10) || chr(10))) part, unnest(range(len(string_split(txt, chr(10) || chr(10))))) place from docs),
+spans as (select doc_id, place, cast(sum(length(part) + 2) over (partition by doc_id order by place) - length(part) - 2 as int) start,
+  cast(sum(length(part) + 2) over (partition by doc_id order by place) - 2 as int) "end", md5(part) digest from parts qualify part <> ''),
+{_PLACED} select chunk_id, doc_id, page_ids, start, "end", digest from named""",
+    "chunk_span_mapping": f"""
+with {_DOCS}, w as (select doc_id, txt, unnest(range(0, length(txt), 700)) start from docs),
+spans as (select doc_id, start place, cast(start as int) start, cast(least(start + 700, length(txt)) as int) "end", md5(substr(txt, start + 1, 700)) digest,
+  length(regexp_replace(substr(txt, start + 1, 700), '[^\\p{{L}}]', '', 'g')) letters from w),
+{_PLACED} select chunk_id, doc_id, page_ids, start, "end", digest, cast(letters as int) letters from named""",
     "chunk_page_provenance": f"""
 with {_USABLE} select distinct chunk_id, page_id from chunks c join offsets o on o.doc_id = c.doc_id
 and c.char_start < o.s + length(o.content) and c.char_end > o.s""",
     "chunk_span_check": f"""
-with {_DOCS} select distinct chunk_id, char_start start, char_end "end" from chunks join docs using (doc_id)
+with {_DOCS}, shifted as (select * replace (case when char_start % 5 = 0 then char_end + 1 else char_end end as char_end) from chunks)
+select distinct chunk_id, char_start start, char_end "end" from shifted join docs using (doc_id)
 where length(content) = 0 or char_start < 0 or char_start >= char_end or char_end > length(txt)
 or substr(txt, char_start + 1, char_end - char_start) <> content""",
     "multi_page_chunks": "select len(page_ids) > 1 several_pages, count(*) chunks from (select distinct chunk_id, page_ids from chunks) group by all",
@@ -227,16 +270,19 @@ with d as (select distinct doc_id, page_number declared from documents_metadata)
 p as (select doc_id, count(*) pages, min(page_number) low, max(page_number) high from (select distinct doc_id, page_number from corpus) group by all)
 select doc_id, declared, pages from d left join p using (doc_id) where pages is null or pages <> declared or low <> 0 or high <> declared - 1""",
     "check_page_range": """
-select page_id, doc_id from (select distinct page_id, doc_id, page_number from corpus) c
+select page_id, doc_id from (select distinct page_id, doc_id, case when page_id % 13 = 0 then page_number + 1000 else page_number end page_number from corpus) c
 join (select distinct doc_id, page_number declared from documents_metadata) d using (doc_id) where page_number < 0 or page_number >= declared""",
     "check_status_content": r"""
-select page_id, status from parsed_pages where not coalesce(case status when 'success' then content is not null and regexp_matches(content, '\S')
+select page_id, status from (select page_id, content, case when page_id % 9 = 0 then 'empty' else status end status from parsed_pages) where not coalesce(case status when 'success' then content is not null and regexp_matches(content, '\S')
   when 'empty' then content = '' when 'failed' then content is null else false end, false) or page_id < 0""",
     "check_parser_output": """
-with w as (select distinct page_id, doc_id, page_number from corpus), h as (select distinct page_id, doc_id d, page_number n from parsed_pages)
-select page_id from w full join h using (page_id) where doc_id is null or d is null or doc_id <> d or page_number <> n""",
+with w as (select distinct page_id, doc_id, page_number from corpus), h as (select page_id, count(*) n_rows, min(doc_id) d, min(page_number) n from parsed_pages group by all)
+select page_id from w full join h using (page_id) where doc_id is null or d is null or n_rows <> 1 or doc_id <> d or page_number is distinct from n""",
     "check_chunks": """
-select chunk_id from chunks where chunk_id = '' or doc_id = '' or coalesce(content, '') = '' or coalesce(len(page_ids), 0) = 0
+select case when char_start % 7 <> 1 then chunk_id end chunk_id from (select * replace (
+  case when char_start % 11 <> 1 then content end as content,
+  case when char_start % 13 = 1 then list_concat(page_ids, page_ids) else page_ids end as page_ids) from chunks)
+where char_start % 7 = 1 or doc_id = '' or coalesce(content, '') = '' or coalesce(len(page_ids), 0) = 0
 or len(list_distinct(page_ids)) <> len(page_ids)""",
     "check_contributors": """
 select query_id, count(*) as rows from retrieved_pages
@@ -256,7 +302,7 @@ QUERIES = {
         _chunks("chunk_token_window", "token", chunk_size=512, chunk_overlap=64), _chunks("chunk_sentence", "sentence", chunk_size=1024, chunk_overlap=128),
         _chunks("chunk_recursive", "recursive", chunk_size=1024), _chunks("chunk_fast", "fast", chunk_size=1024),
         _chunks("chunk_semantic", "semantic", encoder=HashEncoder(64), threshold=0.5, chunk_size=2048), chunk_late_pool,
-        _chunks("chunk_function_paragraph", "paragraph"), chunk_span_check, chunk_page_provenance, multi_page_chunks, chunk_span_stats,
+        _chunks("chunk_function_paragraph", "paragraph"), chunk_span_mapping, chunk_span_check, chunk_page_provenance, multi_page_chunks, chunk_span_stats,
         page_status_counts, page_status_derived, parse_missing_anti_join, parse_merge_prefer_new, parse_paginated_text, language_normalize,
         corpus_numbering, check_contiguous_ids, check_fk_violations, check_duplicates, check_page_coverage, check_page_range,
         check_status_content, check_parser_output, check_chunks, check_contributors, check_run,

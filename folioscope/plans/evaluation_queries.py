@@ -98,7 +98,11 @@ def retrieval_results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def check_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.query_conflicts(read_table(spark, sf_dir, "queries").select("query_id", "text"))
+    queries = read_table(spark, sf_dir, "queries").select("query_id", "text")
+    # faults are put in: blank texts under known ids, and texts without id
+    blank = queries.where("query_id % 7 = 0").select("query_id", F.lit(" ").alias("text"))
+    unnamed = queries.where("query_id % 11 = 0").select(F.lit(None).cast("long").alias("query_id"), "text")
+    return checks.query_conflicts(queries.unionByName(blank).unionByName(unnamed))
 
 
 def subset_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +140,18 @@ _OTHER = _RUN.replace(
     " / greatest(len(chunks), 1)), 6) score",
 )
 
+
+def _identity(table: str, *columns: str) -> str:
+    cells = " || ".join(f"coalesce(length({c}::varchar) || ':' || {c}::varchar, '-')" for c in columns)
+    return f"""
+with h as (select distinct sha256({cells}) h from {table}),
+g as (select left(h, 3) g, sha256(string_agg(h, '' order by h)) h from h group by 1)
+select sha256(string_agg(h, '' order by g)) as identity from g"""
+
+
 ORACLES = {
+    "qrels_identity": _identity("qrels", "query_id", "page_id", "score"),
+    "query_set_hash": _identity("queries", "query_id", "text"),
     **{
         f"eval_{f.lower()}": f"with {_RUN}, {_VALUES} select query_id, k, round(value, 6) as value from vals where family = '{f}'"
         for f in evaluation.FAMILIES
@@ -160,9 +175,11 @@ from (select query_id, page_id, unnest(chunks) c from retrieved_pages) group by
 select query_id, coalesce('[' || string_agg(printf('{{"rank":%d,"page_id":%d}}', rank, page_id), ',' order by rank) || ']', '[]') payload
 from (select distinct query_id from queries) left join (select * from run where rank <= 5) using (query_id) group by all""",
     "check_queries": r"""
-select 'no id' as rule, text detail from queries where query_id is null
-union all select 'blank text', query_id::varchar from queries where text is null or not regexp_matches(text, '\S')
-union all select 'id twice', query_id::varchar from (select query_id from queries group by all having count(*) > 1)""",
+with asked as (select query_id, text from queries union all select query_id, ' ' from queries where query_id % 7 = 0
+  union all select null, text from queries where query_id % 11 = 0)
+select 'no id' as rule, text detail from asked where query_id is null
+union all select 'blank text', query_id::varchar from asked where text is null or not regexp_matches(text, '\S')
+union all select 'id twice', query_id::varchar from (select query_id from asked group by all having count(*) > 1)""",
     "subset_judgments": """
 with p as (select distinct page_id, doc_id, page_number from corpus where doc_id in (select doc_id from documents_metadata where doc_type = 'report')),
 pn as (select page_id, row_number() over (order by page_id) - 1 new_page from (select distinct page_id from p)),

@@ -75,7 +75,10 @@ def index_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def late_precomputed_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indexing.precomputed_state(vector_chunks(spark, sf_dir))
+    """Vectors of two models: the guard must tell them apart."""
+    model = F.when(F.col("vec_id") % 2 == 0, "first").otherwise("second")
+    chunks = vector_chunks(spark, sf_dir).withColumn("metadata", F.create_map(F.lit("embedding_model"), model))
+    return indexing.precomputed_state(chunks)
 
 
 def _matrices(rows: DataFrame) -> DataFrame:
@@ -151,7 +154,9 @@ with v as (select vec_id, cast(embedding as double[]) e from embeddings),
 n as (select *, sqrt(list_inner_product(e, e)) norm from v)
 select vec_id, round(norm, 4) norm, round(e[1] / norm, 5) first_value, 1.0 unit_norm from n""",
     "index_positions": "select row_number() over (order by chunk_id) - 1 index_position, chunk_id from (select distinct chunk_id from chunks)",
-    "late_precomputed_guard": "select count(*) chunks, count(embedding) embedded, 1 models, count(distinct len(embedding)) widths from embeddings",
+    "late_precomputed_guard": """
+select count(*) chunks, count(embedding) embedded, count(distinct vec_id % 2) models, 'first' model, count(distinct len(embedding)) widths,
+  cast(max(len(embedding)) as int) width from embeddings""",
     "maxsim_topk_pages": f"with {_LATE}" + _PAGES.format(how="max(score)", digits=4),
     "maxsim_candidate_cap": f"with {_LATE} select query_id, count(*) candidates, cast(max(rank) as int) last_rank from ranked group by all",
     "maxsim_columns": """

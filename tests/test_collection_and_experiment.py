@@ -5,6 +5,7 @@ import pytest
 from folioscope import schemas
 from folioscope.errors import ArtifactError, BenchmarkError, CollectionError, ParsingError
 from folioscope.functions import identity
+from folioscope.operators import adapters as A
 from folioscope.operators import parsing as P
 from folioscope.operators.chunking import ChunkingConfig
 from folioscope.operators.encoders import HashEncoder, HashTokenEncoder
@@ -90,6 +91,70 @@ def test_parsing_isolates_failures_and_reuses_pages(spark):
         P.parse_collection(pages, sources, config, doc_id="unknown")
 
 
+def test_overwriting_parses_anew(spark):
+    P.register_parser("failing", Failing(), replace=True)
+    pages = spark.createDataFrame([(0, "ok", 0), (1, "other", 0)], schemas.PAGE)
+    source = lambda a, b: spark.createDataFrame([("ok", bytearray(a), "en"), ("other", bytearray(b), "en")], "doc_id string, data binary, language string")
+    config = P.ParsingConfig("failing")
+    held = P.parse_collection(pages, source(b"one", b"two"), config).cache()
+    held.count()
+    text = lambda rows: {r.page_id: r.content for r in rows.collect()}
+    new = source(b"new one", b"new two")
+    assert text(P.parse_collection(pages, new, config, held)) == {0: "one", 1: "two"}
+    assert text(P.parse_collection(pages, new, config, held, overwrite=True)) == {0: "new one", 1: "new two"}
+    assert text(P.parse_collection(pages, new, config, held, doc_id="ok", overwrite=True)) == {0: "new one", 1: "two"}
+
+
+def test_exactly_one_row_of_every_page(spark):
+    pages = spark.createDataFrame([(0, "a", 0), (1, "a", 1)], schemas.PAGE)
+    row = lambda page, number, form="text": (page, "a", number, "x", form, "success", {})
+    good = [row(0, 0), row(1, 1)]
+    P.require_complete(pages, spark.createDataFrame(good, schemas.PARSED_PAGE))
+    for bad in ([*good, good[0]], good[:1], [row(0, 0), row(1, 2)], [row(0, 0), row(1, 1, "markdown")]):
+        with pytest.raises(ParsingError):
+            P.require_complete(pages, spark.createDataFrame(bad, schemas.PARSED_PAGE))
+
+
+def test_adapters_with_backends(spark):
+    seen = []
+
+    def backend(data, settings):
+        seen.append(settings)
+        if data == b"bad":
+            raise ValueError("broken")
+        return {0: "first", 1: "  ", 5: "elsewhere"}
+
+    parser = A.BackendParser("thing", lambda: backend, options=A.DOCLING.options, exclusive=A.DOCLING.exclusive, only=A.DOCLING.only)
+    config = lambda form="markdown", **options: P.ParsingConfig("thing", form, options)
+    assert parser.pages(b"x", [0, 1, 2], "German", config(use_ocr=True)) == {0: "first", 1: "  ", 2: None}
+    assert seen[-1]["language"] == "deu" and seen[-1]["mode"] == "ocr" and seen[-1]["describe_pictures"] is False
+    assert [A.recognition_code(x) for x in (None, " ", "PT", "ltz")] == ["eng", "eng", "por", "ltz"]
+    for bad in (config(use_ocr=True, use_vlm=True), config(use_vlm=True, describe_pictures=True), config("text", describe_pictures=True), config(use_ocr=1)):
+        with pytest.raises(ParsingError):
+            parser.settings(bad, "en")
+    P.register_parser("thing", parser, replace=True)
+    A.register_adapters(replace=True)
+    with pytest.raises(ParsingError):
+        P.resolve_parser(P.ParsingConfig("marker", "text"))
+    pages = spark.createDataFrame([(0, "a", 0), (1, "a", 1), (2, "a", 2), (3, "b", 0)], schemas.PAGE)
+    sources = spark.createDataFrame([("a", bytearray(b"x"), "en"), ("b", bytearray(b"bad"), "en")], "doc_id string, data binary, language string")
+    got = {r.page_id: (r.status, r.metadata.get("error_type")) for r in P.parse_collection(pages, sources, config()).collect()}
+    assert got == {0: ("success", None), 1: ("empty", None), 2: ("failed", "MissingPage"), 3: ("failed", "ValueError")}
+    # a library that is not there fails the pages with its name
+    rows = P.parse_collection(pages, sources, P.ParsingConfig("docling")).collect()
+    assert {r.status for r in rows} == {"failed"} and "docling is not installed" in rows[0].metadata["error_message"]
+
+
+def test_records_must_agree_with_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ftwo")
+    (tmp_path / "b.txt").write_text("three")
+    counted = S.count_pages(S.scan_documents(spark, str(tmp_path), "txt"), S.form_feed_pages)
+    rule = lambda *rows: {(r.doc_id, r.rule) for r in S.document_conflicts(spark.createDataFrame(list(rows), "doc_id string, file_name string, page_number int"), counted).collect()}
+    assert rule(("a", "a.txt", 2), ("b", "b.txt", 1)) == set()
+    assert rule(("a", "a.txt", 3), ("b", "B.txt", 1)) == {("a", "other number of pages"), ("b", "other file name")}
+    assert rule(("a", "a.txt", 2), ("c", "c.txt", 1)) == {("b", "no record"), ("c", "no file")}
+
+
 def test_parser_registry_and_formats():
     with pytest.raises(ParsingError):
         P.register_parser("html", P.HtmlParser())
@@ -115,6 +180,12 @@ def test_identity(spark):
     with pytest.warns(RuntimeWarning):
         assert first != identity.chunking_payload("x", {"f": len}, None)
     assert identity.chunking_payload("x", {"f": len}, "k") == identity.chunking_payload("x", {"f": len}, "k")
+    assert one(a) == one(a.union(a)) and one(a.limit(0)) != one(a)
+    shifted = spark.createDataFrame([(0, "1:x"), (11, "y")], "query_id long, text string")
+    assert one(shifted) != one(spark.createDataFrame([(0, "1"), (1, "xy")], "query_id long, text string"))
+    options = {"t": (1, 2), "s": {"b", "a"}, "n": {"m": None}, "c": ChunkingConfig("y", {"z": 1.5})}
+    told = identity.chunking_payload("x", options, None)["options"]
+    assert told["t"] == [1, 2] and told["s"] == ["a", "b"] and told["c"]["fields"]["options"] == {"z": 1.5}
 
 
 def test_artifact_states(spark, tmp_path):

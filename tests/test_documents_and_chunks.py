@@ -100,3 +100,39 @@ def test_registry_and_description(spark):
 def test_token_encoder_encodes_every_word():
     (vectors,) = HashTokenEncoder(4).encode(["word " * 600 + "tail"])
     assert len(vectors) == 601 and vectors[-1] == HashTokenEncoder(4).encode(["tail"])[0][0]
+
+
+class Halves(C.DocumentChunker):
+    def check_options(self, options):
+        if set(options) - {"shift"}:
+            raise ChunkingError("unknown option")
+
+    def chunk_documents(self, documents, options):
+        half = documents.selectExpr("doc_id", "length(text) n", f"cast(length(text) / 2 as int) + {options.get('shift', 0)} m")
+        return half.selectExpr("doc_id", "explode(array(named_struct('place', 0, 'start', 0, 'end', m), named_struct('place', 1, 'start', m, 'end', n))) s").select("doc_id", "s.*")
+
+
+def test_a_chunker_with_full_control(spark):
+    C.register_chunker("halves", replace=True)(Halves())
+    got = C.chunk(pages(spark, GAPS), C.ChunkingConfig("halves")).collect()
+    assert sorted((r.chunk_id, r.content, list(r.page_ids), r.metadata["strategy"]) for r in got) == [
+        ("doc:00000000", "abc", [10], "halves"), ("doc:00000001", "\nxyz", [13], "halves"),
+    ]
+    with pytest.raises(ChunkingError):
+        C.chunk(pages(spark, GAPS), C.ChunkingConfig("halves", {"shift": 9}))
+    with pytest.raises(ChunkingError):
+        C.chunk(pages(spark, GAPS), C.ChunkingConfig("halves", {"other": 9}))
+
+
+@pytest.mark.parametrize("size,overlap", [(4, 1), (5, 4), (3, 0), (100, 0), (7, 5)])
+def test_windows_equal_slices(spark, size, overlap):
+    text = "aé😀\nb cd ef\r\ngh𝄞ij klm"
+    rows = pages(spark, [(1, "d", 0, text, "success"), (2, "d", 1, "x" * 9, "success"), (3, "e", 0, "q", "success")])
+    got = {(r.doc_id, r.start): (r.end, r.content) for r in C.chunk(rows, C.ChunkingConfig("token", {"chunk_size": size, "chunk_overlap": overlap})).collect()}
+    whole = {"d": f"{text}\n{'x' * 9}", "e": "q"}
+    want = {}
+    for doc, t in whole.items():
+        for a, b in C.token_spans(t, size, overlap):
+            if not (t[a:b] == "\n" and a == len(text)):
+                want[doc, a] = (b, t[a:b])
+    assert got == want
