@@ -44,6 +44,14 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 _UNIT = re.compile(r"\s*\S+|\s+$")
 
 
+def load_vocabulary(path: str = VOCABULARY) -> tuple[str, dict[bytes, int]]:
+    """The tokenizer's pattern and ranks, read where the query is planned; workers get them by broadcast."""
+    import public_tokenizers
+
+    with open(path, "rb") as lines:
+        return public_tokenizers.PATTERN, {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
 class TokenCounter:
     """Exact token counts; the units of a text are encoded once per worker.
 
@@ -51,13 +59,11 @@ class TokenCounter:
     behind it, so a text's count is the sum over its units.
     """
 
-    def __init__(self, path: str = VOCABULARY, most_units: int = 2_000_000) -> None:
-        import public_tokenizers
+    def __init__(self, vocabulary: tuple[str, dict[bytes, int]], most_units: int = 2_000_000) -> None:
         import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("pack", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        pattern, ranks = vocabulary
+        self.encoding = tiktoken.Encoding("pack", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, int] = {}
         self.most_units = most_units
 
@@ -91,8 +97,10 @@ def _items(documents: DataFrame) -> DataFrame:
 def token_sizes(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``doc_id, source, item, tokens`` of every text."""
 
+    shared = documents.sparkSession.sparkContext.broadcast(load_vocabulary(path))
+
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = TokenCounter(path)
+        counter = TokenCounter(shared.value)
         for frame in frames:
             out = frame[["doc_id", "source", "item"]].copy()
             out["tokens"] = [counter.count(t) for t in frame["text"]]

@@ -105,7 +105,7 @@ def test_packing_keeps_its_rules(spark):
     packed = packing.pack(docs, limits, shard_items=60).cache()
     assert packing.rule_breaks(packed).count() == 0
     out = packed.collect()
-    counter = packing.TokenCounter()
+    counter = packing.TokenCounter(packing.load_vocabulary())
     for capacity in (64, 256):
         bins, parts = defaultdict(list), defaultdict(list)
         for r in out:
