@@ -78,39 +78,75 @@ class PieceModel:
                     out.append((i, j, -1))
         return out
 
-    def log_scores(self, word: str) -> np.ndarray:
-        forward = np.zeros((len(word) + 2, len(LANGUAGES)))
-        forward[0] = 1.0
-        for i, j, k in self.edges(word):
-            forward[j] += forward[i] * self.probability[k]
-        score = np.log(np.maximum(forward[-1], 1e-300))
-        return np.maximum(score, score.max() - CLAMP)
+    def lattice(self, words: list[str]) -> "Lattice":
+        return Lattice([self.edges(w) for w in words], [len(w) + 1 for w in words])
+
+    def log_scores(self, words: list[str]) -> np.ndarray:
+        """A row of log probabilities for each word."""
+        lattice = self.lattice(words)
+        score = np.log(np.maximum(lattice.forward(self.probability)[lattice.last], 1e-300))
+        return np.maximum(score, score.max(axis=1, keepdims=True) - CLAMP)
 
     def fit(self, counts: list[Counter], rounds: int = 3, prior: float = 0.05) -> None:
         """Expectation-maximisation of all languages at once from word counts per language."""
-        every = set().union(*counts)
-        weights = {w: np.array([c[w] for c in counts], dtype=float) for w in every}
-        lattices = {w: self.edges(w) for w in every}
+        every = sorted(set().union(*counts))
+        weights = np.array([[c[w] for c in counts] for w in every], dtype=float).reshape(len(every), len(counts))
+        lattice = self.lattice(every)
         known = len(self.index)
         for _ in range(rounds):
-            expected = np.full_like(self.probability, prior)
-            for word, lattice in lattices.items():
-                n = len(word) + 1
-                forward = np.zeros((n + 1, len(LANGUAGES)))
-                backward = np.zeros_like(forward)
-                forward[0] = backward[n] = 1.0
-                for i, j, k in lattice:
-                    forward[j] += forward[i] * self.probability[k]
-                for i, j, k in reversed(lattice):
-                    backward[i] += backward[j] * self.probability[k]
-                scale = weights[word] / np.maximum(forward[n], 1e-300)
-                for i, j, k in lattice:
-                    if k >= 0:
-                        expected[k] += forward[i] * self.probability[k] * backward[j] * scale
+            expected = lattice.expected(self.probability, weights) + prior
             self.probability[:known] = expected[:known] / expected[:known].sum(axis=0)
             self.probability[-1] = _UNKNOWN_CHARACTER
 
 
+class Lattice:
+    """The segmentation lattices of many words as arrays: edges by the place where they start, words in order."""
+
+    def __init__(self, edges: list[list[tuple[int, int, int]]], lengths: list[int]) -> None:
+        sizes = np.array(lengths, dtype=np.int64) + 1
+        first = np.cumsum(sizes) - sizes
+        self.first, self.last, self.nodes = first, first + sizes - 1, int(sizes.sum())
+        counts = np.fromiter(map(len, edges), dtype=np.int64, count=len(edges))
+        flat = np.array([e for word in edges for e in word], dtype=np.int64).reshape(-1, 3)
+        owner = np.repeat(np.arange(len(edges)), counts)
+        order = np.lexsort((owner, flat[:, 0]))
+        self.owner, flat = owner[order], flat[order]
+        self.begin, self.end, self.piece = flat[:, 0] + first[self.owner], flat[:, 1] + first[self.owner], flat[:, 2]
+        cuts = np.flatnonzero(np.diff(flat[:, 0], prepend=-1, append=-1)) if len(flat) else np.zeros(1, dtype=np.int64)
+        self.places = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+
+    def forward(self, probability: np.ndarray) -> np.ndarray:
+        """The sum over all ways from a word's beginning to each node."""
+        out = np.zeros((self.nodes, probability.shape[1]))
+        out[self.first] = 1.0
+        for a, b in self.places:
+            # the edges of one place end in different nodes
+            out[self.end[a:b]] += out[self.begin[a:b]] * probability[self.piece[a:b]]
+        return out
+
+    def backward(self, probability: np.ndarray) -> np.ndarray:
+        """The sum over all ways from each node to its word's end."""
+        out = np.zeros((self.nodes, probability.shape[1]))
+        out[self.last] = 1.0
+        for a, b in reversed(self.places):
+            begin = self.begin[a:b]
+            starts = np.flatnonzero(np.diff(begin, prepend=-1))
+            out[begin[starts]] = np.add.reduceat(out[self.end[a:b]] * probability[self.piece[a:b]], starts, axis=0)
+        return out
+
+    def expected(self, probability: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece, by language, of words that occur ``weights`` times."""
+        forward, backward = self.forward(probability), self.backward(probability)
+        scale = weights / np.maximum(forward[self.last], 1e-300)
+        used = forward[self.begin] * probability[self.piece] * backward[self.end] * scale[self.owner]
+        out = np.zeros_like(probability)
+        pieces = np.where(self.piece < 0, len(probability) - 1, self.piece)
+        for language in range(probability.shape[1]):
+            out[:, language] = np.bincount(pieces, weights=used[:, language], minlength=len(probability))
+        out[-1] = 0.0
+        return out
+
+
 class WordScores:
     """Ids of words and their score rows; grows with the words a task meets."""
 
@@ -122,16 +158,18 @@ class WordScores:
 
     def lookup(self, tokens: list[str]) -> np.ndarray:
         ids = self.ids
-        new = set(tokens).difference(ids)
-        for word in new:
-            k = len(ids)
-            if k == len(self.rows):
+        new = list(set(tokens).difference(ids))
+        if new:
+            counted = [len(w) <= LONGEST and w.isalpha() for w in new]
+            while len(ids) + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
                 self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-            if len(word) <= LONGEST and word.isalpha():
-                self.rows[k] = self.model.log_scores(word)
-                self.counts[k] = 1
-            ids[word] = k
+            at = np.arange(len(ids), len(ids) + len(new))
+            ids.update(zip(new, at.tolist()))
+            scored = [w for w, c in zip(new, counted) if c]
+            if scored:
+                self.rows[at[counted]] = self.model.log_scores(scored)
+                self.counts[at[counted]] = 1
         return np.fromiter(map(ids.__getitem__, tokens), dtype=np.int32, count=len(tokens))
 
 
