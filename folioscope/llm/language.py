@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.words import WORD
+from folioscope.session import spread
 
 LANGUAGES = ("en", "fr", "de", "es", "it", "pt")
 #: Names and codes by which a label names a language.
@@ -272,6 +273,7 @@ _SCORES = [f"score_{code}" for code in LANGUAGES]
 _SUMS = "record_key string, language_code string, words long, segments long, confidence double, " + ", ".join(
     f"{c} double" for c in ("counted", *_SCORES)
 )
+_PAGE_SUMS = _SUMS + ", page_id long, content_key long"
 SEGMENTS = (
     "record_kind string, record_key string, page_id long, first_word int, words int, language_code string, "
     "segment string, confidence double, kept boolean"
@@ -417,9 +419,16 @@ def page_languages(pages: DataFrame, model: PieceModel, least_words: int = 25) -
             found = _page_parts(frame, scores, least_words)
             if found:
                 parts, total = found
-                yield _sums(frame["doc_id"].to_numpy()[parts["row"].to_numpy()], parts, total, "counted")
-
-    return _languages(_page_rows(pages).select("page_id", "doc_id", "content").distinct().mapInPandas(scan, _SUMS))
+                sums = _sums(parts["row"].to_numpy(), parts, total, "counted")
+                row = sums["record_key"].to_numpy(dtype=np.int64)
+                for name, column in (("record_key", "doc_id"), ("page_id", "page_id"), ("content_key", "content_key")):
+                    sums[name] = frame[column].to_numpy()[row]
+                yield sums
+
+    rows = spread(_page_rows(pages).select("page_id", "doc_id", "content", F.xxhash64("content").alias("content_key")))
+    # repeated rows are told by their sums' keys, so texts are not shuffled to find them
+    once = rows.mapInPandas(scan, _PAGE_SUMS).dropDuplicates(["record_key", "page_id", "content_key", "language_code"])
+    return _languages(once.drop("page_id", "content_key"))
 
 
 def _languages(sums: DataFrame) -> DataFrame:
