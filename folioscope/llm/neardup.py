@@ -289,6 +289,8 @@ def _merge_shard(blobs: list[bytes], t: Fraction, short_lists: int, block: int =
     once.
     """
     parts = [_unpack(b) for b in blobs]
+    if not parts:
+        return
     shift = _starts(np.array([len(p[0]) for p in parts]))
     all_n = np.concatenate([p[1] for p in parts])
     all_lanes = _widths(all_n)
@@ -460,9 +462,11 @@ def near_copies(
     blobs = _post_pass(rows, k, threshold, short_lists, shared, shards, long_list)
 
     def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # one partition is one shard
         yield from _merge_shard([b for f in frames for b in f["blob"]], threshold, short_lists)
 
-    met = blobs.groupBy("shard").applyInPandas(merge, _MET).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least"))
+    # by number, so that no task is given several shards
+    met = blobs.repartitionById(shards, "shard").select("blob").mapInPandas(merge, _MET).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least"))
     pairs = checkpoint(met.where("n >= least").select("a", "b"))
     sets = _set_pass(_asked_rows(rows, pairs, found, filter_bits), k).groupBy("k1", "k2").agg(F.first("grams").alias("grams"))
     left = sets.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("grams").alias("left"))
