@@ -45,7 +45,7 @@ from folioscope.session import checkpoint, spread
 
 _PARTS = 64
 #: 64-bit words of a text's bitmap, and the most shingles for which each is used.
-_WIDTHS = ((2, 58), (4, 116), (8, 232), (16, 464), (32, 1 << 40))
+_WIDTHS = ((2, 80), (4, 160), (8, 320), (16, 640), (32, 1 << 40))
 
 
 def _batches(frames: Iterator[pd.DataFrame], k: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
