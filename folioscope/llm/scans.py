@@ -170,9 +170,12 @@ def _line_role(line: str, publisher: set[str]) -> tuple[str, str]:
 
 
 def scanned_pages(pages: DataFrame) -> DataFrame:
+    """Scanned pages, repeated rows once, over as many tasks as shuffles have: what follows is heavy for its bytes."""
+    partitions = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         pages.where("status = 'success' and content is not null and metadata['parser'] = 'layout'")
         .select("page_id", "doc_id", "page_number", "content")
+        .repartition(partitions, "page_id")
         .distinct()
     )
 
