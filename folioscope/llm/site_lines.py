@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.session import checkpoint, materialize
+from folioscope.session import checkpoint, materialize, spread
 
 
 def _reduced(content: Column) -> Column:
@@ -64,11 +64,13 @@ def line_occurrences(pages: DataFrame, documents: DataFrame, sizes: DataFrame, l
     hashed = F.transform(
         counted, lambda r: F.struct(r["no"], F.xxhash64(r["line"]).alias("h1"), F.xxhash64(F.lit(7), r["line"]).alias("h2"))
     )
-    lines = pages.where("content is not null").select("page_id", "doc_id", hashed.alias("lines"))
+    lines = spread(pages.where("content is not null").select("page_id", "doc_id", "content")).select("page_id", "doc_id", hashed.alias("lines"))
     owners = documents.join(sizes.select("source", "source_no"), "source").select("doc_id", "source_no", "ordinal")
     return (
         lines.join(owners, "doc_id")
-        .select("page_id", "source_no", "ordinal", F.explode("lines").alias("r"))
+        # outer, as the optimizer would test an inner one's array before the join: it would be made three times
+        .select("page_id", "source_no", "ordinal", F.explode_outer("lines").alias("r"))
+        .where("r is not null")
         .select(
             F.xxhash64("source_no", "r.h1").alias("k1"),
             F.xxhash64("source_no", "r.h2").alias("k2"),
