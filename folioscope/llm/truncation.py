@@ -92,7 +92,8 @@ def whole_forms(documents: DataFrame, endings: DataFrame, whole_share: float = 0
     lines = F.split("text", "\n")
     inside = (
         documents.where("text is not null")
-        .select(F.explode(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("line"))
+        # outer, so that the texts are not split once more to test for lines; null lines fall below
+        .select(F.explode_outer(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("line"))
         .withColumn("line", F.rtrim("line", F.lit(_BLANK)))
         .where((F.length("line") > 0) & ~F.substring(F.col("line"), -1, 1).isin(".", "!", "?"))
         .groupBy(_shape(F.col("line")).alias("shape"))
