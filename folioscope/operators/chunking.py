@@ -374,7 +374,8 @@ def window_chunks(documents: DataFrame, chunk_size: int, chunk_overlap: int = 0)
         return F.struct(place.alias("place"), start.alias("start"), end.alias("end"), text.alias("content"), pages.alias("page_ids"))
 
     windows = F.transform(F.sequence(F.lit(0), last, F.lit(step)), window)
-    placed = blocks.select("doc_id", F.explode(windows).alias("w")).select(
+    # outer, as the optimizer would make an inner one's array once more to test it; no text here is empty
+    placed = blocks.select("doc_id", F.explode_outer(windows).alias("w")).select(
         "doc_id", "w.*", F.create_map(F.lit("strategy"), F.lit("token")).alias("metadata")
     )
     return _number(placed).select("chunk_id", "doc_id", "page_ids", "content", "start", "end", "metadata")
