@@ -192,7 +192,7 @@ def word_counts(scanned: DataFrame) -> DataFrame:
                 for word in _PARTS[raw]:
                     total[word] += n
             seen.clear()
-            return pd.DataFrame({"word": list(total), "n": list(total.values())})
+            return pd.DataFrame(list(total.items()), columns=["word", "n"])
 
         for frame in frames:
             for text in frame["content"]:
@@ -421,8 +421,8 @@ def candidates(rare: DataFrame, counts: DataFrame, known: dict[str, int]) -> Dat
 
     def forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            frame = frame[[w.upper() != w for w in frame["word"]]]
-            yield pd.DataFrame({"form": [skeleton(w) for w in frame["word"]], "fix": frame["word"], "of": frame["n"]})
+            rows = [(skeleton(w), w, n) for w, n in frame[["word", "n"]].itertuples(index=False) if w.upper() != w]
+            yield pd.DataFrame(rows, columns=["form", "fix", "of"])
 
     commonest = (
         counts.mapInPandas(forms, "form string, fix string, of long")
@@ -603,12 +603,13 @@ def repair_scans(pages: DataFrame, study: ScanStudy, metadata: DataFrame | None
             if lines is None:
                 mended.append(None)
                 continue
-            on_page = Counter(map(_edge_key, lines))
             notices = set()
             for i in _edge_lines(lines):
                 key = _edge_key(lines[i])
                 # a line that fills a page is text; notices come once or twice
-                if _line_role(lines[i], names)[0] == "notice" or (key and seen[key] > 1 and on_page[key] <= 2):
+                if _line_role(lines[i], names)[0] == "notice" or (
+                    key and seen[key] > 1 and sum(_edge_key(line) == key for line in lines) <= 2
+                ):
                     notices.add(i)
             correct = _corrector(dict(row.fixes) if row.fixes is not None else {})
             blocks: list[tuple[str, bool]] = []
@@ -633,7 +634,9 @@ def repair_scans(pages: DataFrame, study: ScanStudy, metadata: DataFrame | None
 
 def _edge_key(line: str) -> str:
     """A long line with its numbers left out; empty for a short one."""
-    key = " ".join(re.findall(r"[^\W\d_]+", line.lower()))
+    if len(line) < 40:
+        return ""
+    key = " ".join(_LETTERS.findall(line.lower()))
     return key if len(key) >= 40 else ""
 
 
@@ -685,24 +688,47 @@ def _joint(m: re.Match, known: dict[str, int]) -> str:
     return "" if _is_broken(m.group(1), *_around(m), known) else m.group(1)
 
 
+_INSIDE = "!|(†€"
+
+
+def _is_whole(text: str, begin: int, end: int) -> bool:
+    """Whether no letter or digit, nor a misread character beside one, stands next to the span."""
+    if begin and (text[begin - 1].isalnum() or (text[begin - 1] in _INSIDE and begin > 1 and text[begin - 2].isalnum())):
+        return False
+    return end == len(text) or not (
+        text[end].isalnum() or (text[end] in _INSIDE and end + 1 < len(text) and text[end + 1].isalnum())
+    )
+
+
 def _corrector(fixes: dict[str, list[str]]):
     """A function that corrects a page's whole words in order of occurrence, in one pass over a text."""
     if not fixes:
         return lambda text: text
     found: Counter[str] = Counter()
-    words = "|".join(re.escape(w) for w in sorted(fixes, key=lambda w: (-len(w), w)))
-    # a misread character beside a letter belongs to the word
-    pattern = re.compile(rf"(?<![^\W_])(?<![^\W_][!|(†€])(?:{words})(?![^\W_]|[!|(†€][^\W_])", re.IGNORECASE)
-
-    def right(m: re.Match) -> str:
-        word = m.group().lower()
-        if word not in fixes:
-            return m.group()
-        choices = fixes[word]
-        found[word] += 1
-        return _cased(m.group(), choices[min(found[word], len(choices)) - 1])
-
-    return lambda text: pattern.sub(right, text)
+
+    def correct(text: str) -> str:
+        low = text.lower()
+        if len(low) != len(text):
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        places = []
+        for word in fixes:
+            at = low.find(word)
+            while at >= 0:
+                if _is_whole(text, at, at + len(word)):
+                    places.append((at, -len(word), word))
+                at = low.find(word, at + 1)
+        out, done = [], 0
+        # of words that begin at one place, the longest
+        for at, _, word in sorted(places):
+            if at < done:
+                continue
+            found[word] += 1
+            choices, end = fixes[word], at + len(word)
+            out += [text[done:at], _cased(text[at:end], choices[min(found[word], len(choices)) - 1])]
+            done = end
+        return "".join([*out, text[done:]])
+
+    return correct
 
 
 def _cased(seen: str, right: str) -> str:
