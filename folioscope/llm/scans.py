@@ -587,19 +587,19 @@ def repair_scans(pages: DataFrame, study: ScanStudy, metadata: DataFrame | None
 
     def mend(frame: pd.DataFrame) -> pd.DataFrame:
         names: set[str] = set()
-        for publisher in frame["publisher"].dropna().unique():
+        for publisher in {p for p in frame["publisher"].tolist() if isinstance(p, str)}:
             names |= {skeleton(w) for w in re.findall(r"[^\W_]+", publisher)}
         seen: Counter[str] = Counter()
         kept, mended = [], []
-        for row in frame.itertuples(index=False):
-            if row.content is None:
+        for content, gone in zip(frame["content"].tolist(), frame["gone"].tolist()):
+            if content is None:
                 kept.append(None)
                 continue
-            drop = set() if row.gone is None else set(row.gone)
-            lines = [line for i, line in enumerate(row.content.split("\n")) if i not in drop]
+            drop = set() if gone is None else set(gone)
+            lines = [line for i, line in enumerate(content.split("\n")) if i not in drop]
             kept.append(lines)
             seen.update({_edge_key(lines[i]) for i in _edge_lines(lines)})
-        for row, lines in zip(frame.itertuples(index=False), kept):
+        for fixes, lines in zip(frame["fixes"].tolist(), kept):
             if lines is None:
                 mended.append(None)
                 continue
@@ -611,7 +611,7 @@ def repair_scans(pages: DataFrame, study: ScanStudy, metadata: DataFrame | None
                     key and seen[key] > 1 and sum(_edge_key(line) == key for line in lines) <= 2
                 ):
                     notices.add(i)
-            correct = _corrector(dict(row.fixes) if row.fixes is not None else {})
+            correct = _corrector(dict(fixes) if fixes is not None else {})
             blocks: list[tuple[str, bool]] = []
             for notice, part in itertools.groupby(range(len(lines)), lambda i: i in notices):
                 if notice:
