@@ -1,6 +1,7 @@
 """Near copies, languages, scans and truncation."""
 
 import random
+import tracemalloc
 from fractions import Fraction
 
 import numpy as np
@@ -46,6 +47,54 @@ def test_near_copies_match_brute_force(spark, k, t, long_list, short_lists):
     assert len(pairs) == len(set(pairs)) and set(pairs) == similar(rows, k, t)
 
 
+def test_near_copies_in_rounds(spark, monkeypatch):
+    rng = random.Random(6)
+    pool = [f"word{i}" for i in range(60)]
+    rows = []
+    for i in range(80):
+        base = rng.choices(pool, k=rng.randrange(0, 200))
+        rows += [(f"c{i}-{j}", " ".join(w if rng.random() > 0.03 * j else rng.choice(pool) for w in base)) for j in range(3)]
+    rows += [(f"again{i}", content) for i, (_, content) in enumerate(rows[:100])]
+    frame = spark.createDataFrame(rows, "chunk_id string, content string").repartition(5)
+    cut, layouts = neardup._shards, []
+    monkeypatch.setattr(neardup, "_shards", lambda *a: layouts.append(cut(*a)) or layouts[-1])
+    found = neardup.near_copies(frame, 3, Fraction(3, 5), sketch_bits=12, long_list=20, filter_bits=10, shard_bytes=5_000, round_bytes=6)
+    pairs = [tuple(r) for r in neardup.chunk_pairs(*found).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == similar(rows, 3, Fraction(3, 5))
+    (shards, rounds), = layouts
+    assert 1 < rounds < shards
+
+
+def test_shards_stay_small_however_many_texts():
+    for texts in (10_000, 1_000_000, 100_000_000):
+        sketch = np.full(1 << 12, texts * 108 // (1 << 12))
+        # without lists in blocks
+        shards, rounds = neardup._shards(sketch, texts, 0.4, 2, 3_000_000, 28_000_000, 4, 1 << 40)
+        entries = texts * (2 + 0.4 * 108)
+        held = texts * (1 - (1 - 1 / shards) ** (entries / texts))
+        assert entries / shards < 3_100_000 and held * (8 + 8 * 108 / 24) < 28_500_000
+        assert (shards * held * (8 + 8 * 108 / 24) + 4 * entries) / rounds < 1.1 * 4 * 108 * texts
+
+
+def test_merge_of_a_shard_with_many_texts_takes_little_memory():
+    texts, each = 600_000, 10_000
+    names = (np.arange(texts // 2, dtype=np.uint32) * np.uint32(14_000)).repeat(2)
+
+    def blobs():
+        for at in range(0, texts, each):
+            steps = np.diff(names[at : at + each], prepend=np.uint32(0))
+            numbers = (steps, np.arange(each), np.zeros(each), np.full(each, 100))
+            keys, maps = np.arange(at, at + each, dtype=np.uint64), np.zeros(4 * each, dtype=np.uint64)
+            yield neardup._framed(*(neardup._pack(x.astype(np.uint32)) for x in numbers), keys.tobytes(), maps.tobytes())
+
+    shard = list(blobs())
+    tracemalloc.start()
+    pairs = sum(map(len, neardup._merge_shard(shard, Fraction(3, 5), 1)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pairs == texts // 2 and peak < 320 * texts
+
+
 def test_near_copies_of_nothing(spark):
     frame = spark.createDataFrame([], "chunk_id string, content string")
     assert neardup.chunk_pairs(*neardup.near_copies(frame)).count() == 0
